@@ -197,31 +197,43 @@ def point_hash(points: np.ndarray) -> np.ndarray:
     return out
 
 
+def letter_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased code points, starts and ends of the runs of letters, each text's first run, and the runs' hashes."""
+    points, at = code_points(raw, offsets)
+    kind = classes()
+    start, end = runs(kind[points] == 1, at)
+    low = folded()[points]
+    return low, start, end, np.searchsorted(start, at), mix(span_hash(point_hash(low), start, end))
+
+
 class Interned:
-    """Word hash to row of a growing table, filled by a function for words not seen yet.
+    """Word hash to row of a table of floats, filled by a function for words not seen yet.
 
-    ``make(list of words)`` returns a list of values.  The table is emptied when
-    it holds ``most`` words, which bounds a worker's memory and changes no result.
+    ``make(list of words)`` returns an array with a row for each word.  The table
+    is emptied when it would hold over ``most`` words, which bounds a worker's
+    memory and changes no result.
     """
 
-    def __init__(self, make, most: int = 400_000) -> None:
+    def __init__(self, make, width: int, most: int = 300_000) -> None:
         self.make, self.most = make, most
         self.rows: dict[int, int] = {}
-        self.values: list = []
+        self.values = np.zeros((1024, width), np.float32)
 
-    def look(self, hashes: np.ndarray, text_of) -> np.ndarray:
-        """Rows of ``self.values`` for the hashes; ``text_of(positions)`` gives words."""
+    def look(self, hashes: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Rows of ``values`` for words given by hash and place."""
         unique, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.rows) + len(unique) > self.most:
             self.rows.clear()
-            self.values.clear()
         keys = unique.tolist()
-        got = [self.rows.get(k, -1) for k in keys]
-        new = [i for i, r in enumerate(got) if r < 0]
-        if new:
-            made = self.make(text_of(where[new]))
-            base = len(self.values)
-            self.values.extend(made)
-            for k, i in enumerate(new):
-                self.rows[keys[i]] = got[i] = base + k
-        return np.array(got, np.int64)[back]
+        rows, base = self.rows, len(self.rows)
+        got = np.fromiter((rows.get(k, -1) for k in keys), np.int64, len(keys))
+        new = np.flatnonzero(got < 0)
+        if len(new):
+            at = where[new]
+            words = [low[s:e].tobytes().decode("utf-32-le") for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+            if base + len(new) > len(self.values):
+                self.values = np.concatenate([self.values, np.zeros((max(base + len(new) - len(self.values), len(self.values)), self.values.shape[1]), np.float32)])
+            self.values[base : base + len(new)] = self.make(words)
+            got[new] = np.arange(base, base + len(new))
+            rows.update(zip(unique[new].tolist(), got[new].tolist(), strict=True))
+        return got[back]
