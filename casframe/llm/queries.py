@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casframe.llm import langid, quality, toxicity
+from casframe.llm import langid, packing, quality, toxicity
 from casframe.llm.common import id_bucket, table
 
 
@@ -17,6 +17,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.apply(documents, model).select("doc_id", (id_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(documents, labels.where(id_bucket(F.col("doc_id"), 3) != 1))
@@ -29,7 +33,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op8_toxicity, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_language_id, op5_packing, op8_toxicity, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
