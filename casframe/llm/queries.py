@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casframe.llm import langid, minhash, packing, quality, toxicity
+from casframe.llm import html_extract, langid, minhash, packing, quality, toxicity
 from casframe.llm.common import id_bucket, table
 
 
@@ -21,6 +21,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.apply(table(spark, sf_dir, "pages"), html_extract.fit())
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(spark, table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op5_packing, op7_minhash_near_dedup, op8_toxicity, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_language_id, op5_packing, op6_html_extraction, op7_minhash_near_dedup, op8_toxicity, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
