@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casframe.llm import html_extract, langid, minhash, packing, quality, toxicity
+from casframe.llm import html_extract, langid, line_dedup, minhash, mixing, packing, quality, toxicity
 from casframe.llm.common import id_bucket, table
 
 
@@ -17,6 +17,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.apply(documents, model).select("doc_id", (id_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is drawn, and its source's quota of tokens."""
+    documents = table(spark, sf_dir, "documents")
+    return mixing.draw(spark, documents, report=True).select(F.col("key").alias("doc_id"), F.col("src").alias("source"), "tokens", F.col("copies").cast("long").alias("copies"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text without cross-site boilerplate lines."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("whole", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)))
+    out = line_dedup.dedup(spark, documents)
+    return out.select("doc_id", (F.col("whole") - F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0))).cast("long").alias("n_removed"), "text")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
@@ -41,8 +54,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op5_packing, op6_html_extraction, op7_minhash_near_dedup, op8_toxicity, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_language_id, op3_source_mixing, op4_line_dedup, op5_packing, op6_html_extraction, op7_minhash_near_dedup, op8_toxicity, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": line_dedup.ORACLE_SQL}
