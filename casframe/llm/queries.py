@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casframe.llm import html_extract, langid, line_dedup, minhash, mixing, packing, quality, toxicity
+from casframe.llm import html_extract, langid, line_dedup, media, minhash, mixing, packing, quality, toxicity
 from casframe.llm.common import id_bucket, table
 
 
@@ -48,13 +48,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.apply(documents, model).select("doc_id", (id_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "n_segments")
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return quality.apply(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_source_mixing, op4_line_dedup, op5_packing, op6_html_extraction, op7_minhash_near_dedup, op8_toxicity, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_language_id, op3_source_mixing, op4_line_dedup, op5_packing, op6_html_extraction, op7_minhash_near_dedup, op8_toxicity, op9_media_columns, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
