@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,15 @@ def spread_sample(df: DataFrame, key: str, rows: int, total: int, seed: str = "s
 
 def fill_text(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def bitmap(slots: DataFrame, bits: int) -> bytes:
+    """A packed bitmap (little-endian bits) of a column ``slot`` in [0, bits).
+
+    Its size is fixed by ``bits``; 64 bits make one row, gathered by aggregation.
+    """
+    words = slots.groupBy(F.shiftrightunsigned("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+    out = np.zeros(bits >> 6, np.int64)
+    got = words.toArrow()
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out.astype("<i8").tobytes()

@@ -153,32 +153,21 @@ def _slot(column: str) -> F.Column:
     return F.pmod(F.conv(F.hex(F.substring(column, 1, 7)), 16, 10).cast("long"), F.lit(FILTER_BITS))
 
 
-def bitmap(shared: DataFrame) -> np.ndarray:
-    """The fixed-size bitmap of the media in ``shared``: 64 bits a row, gathered by aggregation."""
-    slots = shared.select(_slot("medium").alias("slot"))
-    words = slots.groupBy(F.shiftrightunsigned("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
-    out = np.zeros(FILTER_BITS >> 6, np.int64)
-    got = words.toArrow()
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
-def stored(documents: DataFrame, text: str, marked: np.ndarray) -> DataFrame:
+def stored(documents: DataFrame, text: str, packed: bytes) -> DataFrame:
     """(medium, bodies, marked): every row's compressed chunks in order."""
     source = documents.select(F.col(text).alias("text"))
-    packed = np.packbits(marked, bitorder="little").tobytes()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         table, squeeze = gear_table(), zstandard.ZstdCompressor(level=3)
-        bits = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little")
         for part in parts:
             medium, bodies, flag = [], [], []
             for _, full, chunks in payloads(part, "text", table):
                 medium.append(hashlib.sha256(full).digest())
                 bodies.append([squeeze.compress(c) for c in chunks])
-                flag.append(bool(bits[int.from_bytes(medium[-1][:7], "big") % FILTER_BITS]))
+                slot = int.from_bytes(medium[-1][:7], "big") % FILTER_BITS
+                flag.append(bool(packed[slot >> 3] >> (slot & 7) & 1))
             yield pa.RecordBatch.from_arrays([pa.array(medium, pa.binary()), pa.array(bodies, pa.list_(pa.binary())), pa.array(flag)], ["medium", "bodies", "marked"])
 
     return source.mapInArrow(run, "medium binary, bodies array<binary>, marked boolean")
@@ -211,7 +200,7 @@ def describe(spark: SparkSession, documents: DataFrame, key: str = "doc_id", tex
     entries = media.select("medium", "n_rows", F.posexplode("chunks").alias("ord", "digest"))
     often = entries.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     shared = media.where("n_rows > 1").select("medium").union(entries.join(often, "digest", "left_semi").select("medium"))
-    parted = stored(documents, text, bitmap(shared))
+    parted = stored(documents, text, common.bitmap(shared.select(_slot("medium").alias("slot")), FILTER_BITS))
     path = f"{scratch.base}/store"
     parted.write.partitionBy("marked").option("compression", "uncompressed").parquet(path)
     store = spark.read.schema("medium binary, bodies array<binary>, marked boolean").parquet(path)

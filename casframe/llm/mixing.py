@@ -34,7 +34,7 @@ from casframe.llm import common
 
 STEPS = 60
 BLOCK_ROWS = 2048
-REPEAT_LIMIT = 2.0
+REPEAT_LIMIT = 1.25
 SEED = 7
 WORDS = r"regexp_count(coalesce(text, ''), '[^ \\t-\\r]+')"
 
@@ -78,8 +78,8 @@ def solve(tokens: dict, budget: float, repeat_limit: float | None = REPEAT_LIMIT
 def draw(spark: SparkSession, documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", budget: int | None = None, repeat_limit: float | None = REPEAT_LIMIT, target_entropy: float | None = None, seed: int = SEED, report: bool = False) -> DataFrame:
     """The drawn rows; with ``report`` one row per drawn place (key, source, pass, tokens) instead.
 
-    ``budget`` defaults to the tokens of the input.  The driver sees one number per
-    source and block counts per source only as aggregates of the plan.
+    ``budget`` defaults to the tokens of the input.  The driver gathers two numbers
+    per source and nothing else; sources are a mixing plan's, thousands at most.
     """
     scratch = common.Scratch(spark, "mixing")
     columns = documents.columns

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casframe.llm import html_extract, langid, line_dedup, media, minhash, mixing, packing, quality, toxicity
+from casframe.llm import html_extract, langid, line_dedup, media, minhash, mixing, packing, quality, suffix_dedup, toxicity
 from casframe.llm.common import id_bucket, table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = langid.fit(documents.where(id_bucket(F.col("doc_id"), 5) != 0), langid.vocabulary_path())
@@ -58,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_source_mixing, op4_line_dedup, op5_packing, op6_html_extraction, op7_minhash_near_dedup, op8_toxicity, op9_media_columns, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op3_source_mixing, op4_line_dedup, op5_packing, op6_html_extraction, op7_minhash_near_dedup, op8_toxicity, op9_media_columns, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -270,3 +270,29 @@ def apply(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(spans, struct)] if passages else [])], [key, "score", "predicted", "n_segments", *(["passages"] if passages else [])])
 
     return source.mapInArrow(run, schema)
+
+
+def drop_toxic(documents: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``documents`` without the rows whose score reaches the threshold; one pass, no join."""
+    spot = documents.columns.index(text)
+    names = [f"c{k}" for k in range(len(documents.columns))]
+    inner = documents.toDF(*names)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.rates
+        seen = kernel.Interned(lambda words: np.array([[word_score(table, w)] for w in words]), 1)
+        for part in parts:
+            for i, j, raw, at in kernel.batches(part, names[spot]):
+                x = block_evidence(raw, at, seen, model.decay)
+                clean = chance(model, x) < threshold if model.known else np.ones(j - i, bool)
+                yield part.slice(i, j - i).filter(pa.array(clean))
+
+    return inner.mapInArrow(run, inner.schema).toDF(*documents.columns)
+
+
+def block_evidence(raw: np.ndarray, at: np.ndarray, seen: kernel.Interned, decay: float) -> np.ndarray:
+    """Evidence of each text of a block."""
+    low, start, end, first, h = kernel.letter_words(raw, at)
+    rows = seen.look(h, low, start, end) if len(h) else np.zeros(0, np.int64)
+    scores, bound = seen.values[rows, 0].astype(float), first.tolist()
+    return np.array([evidence(scores[a:b], decay) if b > a else (0.0, 0.0) for a, b in zip(bound, bound[1:], strict=False)]).reshape(-1, 2)
