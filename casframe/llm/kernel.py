@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
@@ -73,10 +73,10 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def batches(table: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def batches(table: pa.RecordBatch, text: str = "text", most: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of each block of a record batch."""
     raw, at = utf8(table.column(text))
-    for i, j in blocks(at):
+    for i, j in blocks(at, most or BLOCK_BYTES):
         yield i, j, raw[at[i] : at[j]], at[i : j + 1] - at[i]
 
 

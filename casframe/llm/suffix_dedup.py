@@ -47,6 +47,7 @@ LENGTH = 200
 GRAM = 64
 GROUP = 8192
 BLOCK_ROWS = 4096
+OUT_ROWS = 8192
 FILTER_BITS = 1 << 25
 SLOTS = 1 << 20
 U64 = np.uint64
@@ -126,11 +127,13 @@ def list_contexts(found: DataFrame) -> DataFrame:
                 left = place - first
                 cid = kernel.mix(kernel.span_hash(p, first, last + LENGTH) + left.astype(U64) * U64(0x9E3779B97F4A7C15))
                 body = raw.tobytes()
-                ctx = [body[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tid[i + text]), pa.array((place - at[text]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(cid.view(np.int64)), pa.array(left.astype(np.int32)), pa.array(ctx, pa.binary())],
-                    ["tid", "pos", "h", "cid", "left", "ctx"],
-                )
+                for k in range(0, len(place), OUT_ROWS):  # a text of short period has an anchor every few bytes
+                    w = slice(k, k + OUT_ROWS)
+                    ctx = [body[a : b + LENGTH] for a, b in zip(first[w].tolist(), last[w].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(tid[i + text[w]]), pa.array((place[w] - at[text[w]]).astype(np.int32)), pa.array(h[w].view(np.int64)), pa.array(cid[w].view(np.int64)), pa.array(left[w].astype(np.int32)), pa.array(ctx, pa.binary())],
+                        ["tid", "pos", "h", "cid", "left", "ctx"],
+                    )
 
     return found.mapInArrow(run, "tid long, pos int, h long, cid long, left int, ctx binary")
 
@@ -327,7 +330,7 @@ def counted(contexts: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for i, j, raw, at in kernel.batches(part, "ctx"):
+            for i, j, raw, at in kernel.batches(part, "ctx", 1 << 17):
                 p = kernel.prefix_hash(raw)
                 n = np.diff(at) - LENGTH + 1
                 row = np.repeat(np.arange(j - i), n)
