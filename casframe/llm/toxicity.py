@@ -198,7 +198,7 @@ def learn(texts: list[list[str]], labels: list[int]) -> Model:
     y = np.array(labels, float)
     if not len(y) or not 0 < y.sum() < len(y):
         return Model()
-    fold = np.arange(len(y)) % 2
+    fold = np.random.default_rng(len(y)).permutation(len(y)) % 2  # order of ids must not split the labels
 
     def fitted(pick: np.ndarray) -> dict[str, float]:
         chosen = [texts[i] for i in np.flatnonzero(pick)]
