@@ -44,7 +44,8 @@ def merge_ranges(plan: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> Da
     """Union of chunk ranges per archive; overlapping and adjacent ranges join."""
     w = Window.partitionBy(*keys, "archive_id").orderBy("chunk_start", "chunk_end_excl")
     reach = F.max("chunk_end_excl").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = plan.withColumn("new", F.when(F.col("chunk_start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    distinct = plan.select(*keys, "archive_id", "chunk_start", "chunk_end_excl").distinct()
+    islands = distinct.withColumn("new", F.when(F.col("chunk_start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return islands.groupBy(*keys, "archive_id", "island").agg(F.min("chunk_start").alias("chunk_start"), F.max("chunk_end_excl").alias("chunk_end_excl")).drop("island")
 
 

@@ -38,7 +38,7 @@ _CTE = {
     "e": "e AS (SELECT request_id, file_hash, total, CASE WHEN range_header IS NULL THEN NULL WHEN s IS NULL OR e IS NULL THEN 'bad_request' WHEN s > e OR s >= total THEN 'range_not_satisfiable' END AS error, coalesce(s, 0) AS s, least(coalesce(e, total - 1), total - 1) AS e FROM e0)",
     "to": "tof AS (SELECT *, sum(unpacked_bytes) OVER (PARTITION BY file_hash ORDER BY term_idx) AS term_end_excl FROM t)",
     "pl": "pl AS (SELECT e.request_id, e.s, e.e, tof.*, term_end_excl - unpacked_bytes AS term_start FROM e JOIN tof ON e.file_hash = tof.file_hash WHERE error IS NULL AND term_end_excl - unpacked_bytes <= e.e AND term_end_excl > e.s)",
-    "m0": "m0 AS (SELECT *, CASE WHEN chunk_start <= max(chunk_end_excl) OVER (PARTITION BY request_id, archive_id ORDER BY chunk_start, chunk_end_excl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM pl)",
+    "m0": "m0 AS (SELECT *, CASE WHEN chunk_start <= max(chunk_end_excl) OVER (PARTITION BY request_id, archive_id ORDER BY chunk_start, chunk_end_excl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT request_id, archive_id, chunk_start, chunk_end_excl FROM pl))",
     "m1": "m1 AS (SELECT *, sum(fresh) OVER (PARTITION BY request_id, archive_id ORDER BY chunk_start, chunk_end_excl ROWS UNBOUNDED PRECEDING) AS island FROM m0)",
     "m": "m AS (SELECT request_id, archive_id, min(chunk_start) AS chunk_start, max(chunk_end_excl) AS chunk_end_excl FROM m1 GROUP BY request_id, archive_id, island)",
     "sh": "sh AS (SELECT DISTINCT file_hash, CAST(seq // 50 AS VARCHAR) AS shard_hash FROM u)",
