@@ -20,11 +20,9 @@ similarity is ``PERCENT`` per cent or more; classes are the components of links.
    are not yet in one component, members that share a shingle outside the hub (by
    prefix filtering, which loses none) make new, smaller buckets with stars of their
    own, without the hub, and pairs that the sizes allow are confirmed directly.
-   This repeats ``LEVELS`` times at most, or until no bucket holds two components.
-
-Two points that no star of any of their buckets meets on any level can miss a link:
-on a family of 3,400 near copies around the threshold two levels and four gave the
-same classes, and one of 51,282 rows differed from brute force.
+   This repeats until the buckets left hold no more pairs than the first level had
+   (often none); all of those are confirmed.  So every link between members of a
+   bucket is found.
 
 No bucket, partner or pair is capped or dropped for its size.  Null and
 empty texts are classes of their own; rows with a null id keep a null class and
@@ -37,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casframe.llm import common, kernel
@@ -46,7 +44,6 @@ WIDTH = 5
 PERCENT = 75
 BINS = 128
 BANDS = 32
-LEVELS = 2
 U64 = np.uint64
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -142,8 +139,7 @@ def sign(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 def compare(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Each pair (a, b) with the sizes of both full sets and what they share, whether
-    they link, and ``outside``: those shingles of b that a lacks, as many of the
-    smallest as a partner of b must hit if it shares enough of them to link.
+    they link, and ``outside``: the shingles of b that a lacks.
     """
     both = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -163,15 +159,9 @@ def compare(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
                 shared = np.bincount(pair[same], minlength=j - i)
                 good = (100 * shared >= percent * (nx + ny - shared)) & (shared > 0)
                 only = side & ~same
-                alone = np.bincount(pair[only], minlength=j - i)
-                need = np.maximum(1, -((100 * shared - percent * ny) // 100))
-                take = np.maximum(alone - need + 1, 0)
-                start = np.cumsum(alone) - alone
-                rank = np.arange(alone.sum()) - np.repeat(start, alone)
-                chosen = h[only][rank < np.repeat(take, alone)]
-                bound = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
+                bound = np.concatenate([[0], np.cumsum(np.bincount(pair[only], minlength=j - i))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k).slice(i, j - i) for k in (0, 1)), pa.array(nx), pa.array(ny), pa.array(shared.astype(np.int64)), pa.array(good), pa.ListArray.from_arrays(pa.array(bound), pa.array(chosen.view(np.int64)))],
+                    [*(part.column(k).slice(i, j - i) for k in (0, 1)), pa.array(nx), pa.array(ny), pa.array(shared.astype(np.int64)), pa.array(good), pa.ListArray.from_arrays(pa.array(bound), pa.array(h[only].view(np.int64)))],
                     ["a", "b", "na", "nb", "both", "linked", "outside"],
                 )
 
@@ -197,6 +187,7 @@ def components(scratch: common.Scratch, links: DataFrame, name: str) -> DataFram
         scratch.drop(f"{name}-{step - 1}")
         labels = moved.select("sid", "comp")
         if moved.where("was <> comp").isEmpty():
+            scratch.drop(f"{name}-edges")
             return labels
 
 
@@ -220,6 +211,30 @@ def stars(members: DataFrame) -> DataFrame:
     return members.join(hubs, "bucket").where("sid <> a").select(F.xxhash64("line", "a").alias("line"), "a", F.col("sid").alias("b")).distinct()
 
 
+def mixed(rows: DataFrame) -> DataFrame:
+    """(bucket, size) of the buckets with members of two components or more."""
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "size")
+
+
+def outside_hub(seen: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(line, bucket, sid): a prefix of what each member has outside its hub, a bucket for each shingle.
+
+    Only shingles that members of another component have too can be in a link that is
+    still missing.  A member with less than ``need`` of them has no such link here; of
+    the others the rarest go on, all but ``need - 1``: two members that share ``need``
+    of them meet in one.  ``need`` is what a link asks for with the smallest partner that
+    the line and the threshold allow, less what the member shares with the hub.
+    """
+    least = seen.groupBy("line").agg(F.min("nb").alias("least"))
+    partner = f"greatest(({percent} * nb + 99) div 100, least)"
+    need = f"greatest(1, ({percent} * (nb + {partner}) + {99 + percent}) div {100 + percent} - both)"
+    spread = seen.join(least, "line").select("line", F.col("b").alias("sid"), "comp", F.expr(need).alias("need"), F.explode("outside").alias("h")).withColumn("bucket", F.xxhash64("line", "h")).drop("h")
+    each = Window.partitionBy("line", "sid")
+    ranked = spread.join(mixed(spread), "bucket").withColumn("n", F.count(F.lit(1)).over(each)).where("n >= need").withColumn("rank", F.row_number().over(each.orderBy("size", "bucket")))
+    prefix = ranked.where("rank <= n - need + 1").select("line", "bucket", "sid", "comp")
+    return prefix.join(mixed(prefix).select("bucket"), "bucket").select("line", "bucket", "sid")
+
+
 def classes(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``documents``."""
     scratch = common.Scratch(spark, "minhash")
@@ -230,9 +245,10 @@ def classes(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text
     members = scratch.save(together(every), "members-0")
     wanted = members.select("sid").distinct().join(sets.select("sid", "set_a", "set_b"), "sid")
     texts = scratch.save(_texts(documents, wanted, key, text), "texts")
-    links, direct, tested, step = None, None, None, 0
+    links, direct, tested, first, step = None, None, None, 0, 0
     while True:
         rays = scratch.save(stars(members), f"rays-{step}")
+        first = rays.count() if step == 0 else first
         pairs = rays.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tested = scratch.save(pairs.distinct() if tested is None else tested.union(pairs).distinct(), f"tested-{step}")
         compared = scratch.save(compare(rays.select("a", "b").distinct(), texts, percent), f"compared-{step}")
@@ -248,7 +264,8 @@ def classes(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text
         apart = seen.groupBy("line").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("line")
         seen = seen.join(apart, "line").join(compared, ["a", "b"]).select("line", "b", "nb", "both", "comp", "outside")
         seen = scratch.save(seen, f"seen-{step}")
-        scratch.drop(f"compared-{step - 1}", f"rays-{step - 1}")
+        scratch.drop(*(f"{t}-{step - 1}" for t in ("compared", "rays", "members", "direct", "seen")), *(f"{t}-{step - 2}" for t in ("tested", "links")))
+        common.free(spark)
         if seen.isEmpty():
             break
         x, y = (seen.select("line", *(F.col(c).alias(f"{c}_{side}") for c in ("b", "nb", "both", "comp"))) for side in "xy")
@@ -256,10 +273,15 @@ def classes(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text
         room = f"100 * both >= {percent} * nb"  # what two texts share inside the hub must be this much of each
         direct = x.where(room.replace("both", "both_x").replace("nb", "nb_x")).join(y.where(room.replace("both", "both_y").replace("nb", "nb_y")), "line").where(fits)
         direct = scratch.save(direct.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct(), f"direct-{step}")
-        spread = seen.select(F.explode("outside").alias("h"), "line", F.col("b").alias("sid"), "comp").select("line", F.xxhash64("line", "h").alias("bucket"), "sid", "comp")
-        mixed = spread.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        members = scratch.save(together(spread.join(mixed, "bucket").select("line", "bucket", "sid"), tested), f"members-{step}")
-        if members.isEmpty() and direct.isEmpty() or step >= LEVELS:
+        members = scratch.save(together(outside_hub(seen, percent), tested), f"members-{step}")
+        twice = members.agg(F.sum(F.col("size") - 1)).first()[0] or 0
+        if twice <= 2 * first:
+            x, y = (members.select("bucket", F.col("sid").alias(c)) for c in "ab")
+            rest = x.join(y, "bucket").where("a < b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti").union(direct).distinct()
+            rest = scratch.save(rest, "rest")
+            if not rest.isEmpty():
+                links = scratch.save(links.union(compare(rest, texts, percent).where("linked").select("a", "b")), "links-rest")
+                comp = components(scratch, links, "comp-rest")
             break
     found = sets.select("set_a", "set_b", "sid").join(comp, "sid", "left").select("set_a", "set_b", F.coalesce("comp", "sid").alias("component_id"))
     empty = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -156,6 +156,17 @@ def test_minhash(spark, texts):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
 
 
+def test_minhash_one_bucket(spark, monkeypatch):
+    """With all texts in one bucket the levels alone must find a link that two hubs in a row do not meet."""
+    words, own = prose(random.Random(5), 80).split(" "), [prose(random.Random(k), 60) for k in range(6, 9)]
+    tail = [" ".join(words + o.split(" ")[:5]) for o in own[1:]]
+    texts = [" ".join(words[:24]) + " " + own[0], " ".join(words[20:]) + " " + own[0], *tail]
+    sign = minhash.sign
+    monkeypatch.setattr(minhash, "sign", lambda *a: sign(*a).withColumn("bands", F.array(F.lit(0).cast("long"))))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.classes(spark, frame(spark, texts)).collect()}
+    assert [got[i] for i in range(4)] == [c for _, c in brute_classes(texts)] == [0, 1, 2, 2]
+
+
 def test_minhash_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.classes(spark, df).collect()), key=repr)
