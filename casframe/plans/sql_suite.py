@@ -28,6 +28,10 @@ SUITE: dict[str, str | tuple[str, str]] = {
     "sql_cross_join": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "sql_lateral": "SELECT c_custkey, t.m FROM customer, LATERAL (SELECT max(o_totalprice) AS m FROM orders WHERE o_custkey = c_custkey) t",
     "sql_asof": _ASOF.format(a="e"),
+    "sql_asof_all": (
+        "SELECT event_id, max(prev_ts) AS prev_ts FROM (SELECT event_id, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '0.000001' SECOND PRECEDING) AS prev_ts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) WHERE prev_ts IS NOT NULL GROUP BY event_id",
+        "SELECT e.event_id, max(o.ts) AS prev_ts FROM events e JOIN events o ON e.user_id = o.user_id AND o.ts < e.ts AND o.event_type = 'purchase' GROUP BY e.event_id",
+    ),
     "sql_interval_join": "SELECT p_size, count(*) AS n FROM part JOIN (SELECT 1 AS lo, 10 AS hi UNION ALL SELECT 11, 30 UNION ALL SELECT 31, 50) b ON p_size BETWEEN lo AND hi GROUP BY p_size",
     "sql_exists": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_discount > 0.05) GROUP BY o_orderpriority",
     "sql_scalar_subquery": "SELECT l_orderkey, l_linenumber FROM lineitem l WHERE l_quantity > (SELECT 1.5 * avg(l_quantity) FROM lineitem x WHERE x.l_partkey = l.l_partkey)",
