@@ -171,11 +171,21 @@ def dedup_lookup_expand(spark, d):
     return chunks.lookup(_chunks(spark, d).where("seq % 97 = 5"), _index(spark, d)).select("chunk_hash", "n_bytes", "pos", "archive_id", "chunk_idx")
 
 
+@query("c i", "SELECT i.chunk_hash, i.n_bytes, i.pos, i.archive_id, i.chunk_idx FROM i WHERE archive_id IN (SELECT i2.archive_id FROM i i2 JOIN c ON c.chunk_hash = i2.chunk_hash)")
+def dedup_lookup_expand_all(spark, d):
+    return chunks.lookup(_chunks(spark, d), _index(spark, d)).select("chunk_hash", "n_bytes", "pos", "archive_id", "chunk_idx")
+
+
 @query("c", "SELECT DISTINCT chunk_hash, sha256('k1' || chunk_hash) AS keyed_hash FROM c WHERE chunk_hash LIKE '%00'")
 def keyed_dedup_hashes(spark, d):
     return chunks.keyed(_chunks(spark, d).where(F.col("chunk_hash").endswith("00")).select("chunk_hash").distinct(), "k1")
 
 
+@query("c", "SELECT DISTINCT chunk_hash, sha256('k1' || chunk_hash) AS keyed_hash FROM c")
+def keyed_dedup_hashes_all(spark, d):
+    return chunks.keyed(_chunks(spark, d).select("chunk_hash").distinct(), "k1")
+
+
 @query("t", "SELECT * FROM t")
 def file_terms(spark, d):
     return _terms(spark, d)
@@ -356,6 +366,12 @@ def validate_hashes(spark, d):
     return validate.bad_hashes(_uploads(spark, d).where("seq % 4 < 2").select("seq", h.alias("h")), "h")
 
 
+@query("u", "SELECT seq, CASE WHEN seq % 2 = 0 THEN upper(file_hash) ELSE substr(file_hash, 1, 60) END AS h FROM u WHERE NOT regexp_full_match(CASE WHEN seq % 2 = 0 THEN upper(file_hash) ELSE substr(file_hash, 1, 60) END, '[0-9a-f]{64}')")
+def validate_hashes_all(spark, d):
+    h = F.when(F.col("seq") % 2 == 0, F.upper("file_hash")).otherwise(F.substring("file_hash", 1, 60))
+    return validate.bad_hashes(_uploads(spark, d).select("seq", h.alias("h")), "h")
+
+
 @query("", "SELECT doc_id, replace(replace(rtrim(base64(encode(source)), '='), '+', '-'), '/', '_') AS cursor, source AS key FROM documents")
 def cursor_codec(spark, d):
     df = read_table(spark, d, "documents").select("doc_id", text.encode_cursor(F.col("source")).alias("cursor"))
