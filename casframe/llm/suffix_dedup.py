@@ -10,7 +10,8 @@ The windows that chose an anchor start in one run, and the bytes they span are t
 anchor's *context*.
 
 Candidates.  Anchors are counted by hash with map-side aggregation; only those of
-at least two places go on, and only texts that hold such anchors move, once.
+at least two places go on, and only texts that hold such anchors move, once.  A
+context is named by 128 bits of the SHA-256 of its bytes and its anchor's offset.
 Contexts that occur whole more than once are repeated in all their windows.
 
 Suffix sort.  The distinct contexts of one anchor are suffixes of one sparse
@@ -22,12 +23,17 @@ the bytes.  Joining neighbours from the longest right extension down, smaller gr
 into larger, finds for each context the left extensions it shares at every right
 one: all its windows that occur elsewhere, though never all pairs are compared.
 
-Bounds.  An anchor with more than ``GROUP`` distinct contexts is not sorted in one
-task.  Its windows are counted by their own hash, again with map-side aggregation,
-which finds the same windows at any size.
-
-Equal texts are worked on once, and removed whole from LENGTH bytes on.  Null texts
-are empty.  Texts shorter than LENGTH bytes lose nothing.
+Bounds.  No group of any size is sorted in one task: the contexts of an anchor with
+more than ``GROUP`` distinct ones are compared by their windows, each named by 128
+bits of a cryptographic digest of its bytes, again with map-side aggregation, which
+finds the same windows.  Anchors and contexts that hold over one in
+``common.HEAVY`` of all rows are broadcast, as names without bytes, instead of
+gathered in a task.  Polynomial hashes, which texts can be made to collide in, only
+choose candidates; digests and bytes decide.
+
+Equal texts (by SHA-256) are worked on once, and removed whole from LENGTH bytes on.
+Null texts are empty, null and repeated keys and repeated rows keep their rows.
+Texts shorter than LENGTH bytes lose nothing.
 """
 
 from __future__ import annotations
@@ -48,8 +54,6 @@ GRAM = 64
 GROUP = 8192
 BLOCK_ROWS = 4096
 OUT_ROWS = 8192
-FILTER_BITS = 1 << 25
-SLOTS = 1 << 20
 U64 = np.uint64
 
 
@@ -87,25 +91,16 @@ def list_anchors(texts: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            tid = part.column(0).to_numpy()
             for i, _, raw, at in kernel.batches(part):
                 h, text, place, _, _ = anchors(raw, at)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tid[i + text]), pa.array((place - at[text]).astype(np.int32))], ["h", "tid", "pos"])
-
-    return texts.mapInArrow(run, "h long, tid long, pos int")
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(pa.array(i + text)), pa.array((place - at[text]).astype(np.int32))], ["h", "tid", "pos"])
 
+    return texts.mapInArrow(run, "h long, tid binary, pos int")
 
-def only_marked(rows: DataFrame, column: str, packed: bytes, bits: int) -> DataFrame:
-    """Rows whose hash is marked in a bitmap: all that matter, and some by chance."""
-    spot = rows.columns.index(column)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(packed, np.uint8)
-        for part in parts:
-            slot = part.column(spot).to_numpy().view(U64) & U64(bits - 1)
-            yield part.filter(pa.array((table[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1 == 1))
-
-    return rows.mapInArrow(run, rows.schema)
+def name(left: int, context: bytes) -> bytes:
+    """128 bits of a digest of a context and its anchor's offset."""
+    return hashlib.sha256(left.to_bytes(4, "little") + context).digest()[:16]
 
 
 def list_contexts(found: DataFrame) -> DataFrame:
@@ -113,7 +108,6 @@ def list_contexts(found: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            tid = part.column(0).to_numpy()
             wanted = part.column(2)
             for i, j, raw, at in kernel.batches(part):
                 h, text, place, first, last = anchors(raw, at)
@@ -123,19 +117,18 @@ def list_contexts(found: DataFrame) -> DataFrame:
                 marks[flat + np.repeat(at[:-1], sizes)] = True
                 keep = np.flatnonzero(marks[place]) if len(place) else np.zeros(0, np.int64)
                 h, text, place, first, last = (x[keep] for x in (h, text, place, first, last))
-                p = kernel.prefix_hash(raw)
                 left = place - first
-                cid = kernel.mix(kernel.span_hash(p, first, last + LENGTH) + left.astype(U64) * U64(0x9E3779B97F4A7C15))
                 body = raw.tobytes()
                 for k in range(0, len(place), OUT_ROWS):  # a text of short period has an anchor every few bytes
                     w = slice(k, k + OUT_ROWS)
                     ctx = [body[a : b + LENGTH] for a, b in zip(first[w].tolist(), last[w].tolist(), strict=True)]
+                    cid = [name(n, c) for n, c in zip(left[w].tolist(), ctx, strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(tid[i + text[w]]), pa.array((place[w] - at[text[w]]).astype(np.int32)), pa.array(h[w].view(np.int64)), pa.array(cid[w].view(np.int64)), pa.array(left[w].astype(np.int32)), pa.array(ctx, pa.binary())],
+                        [part.column(0).take(pa.array(i + text[w])), pa.array((place[w] - at[text[w]]).astype(np.int32)), pa.array(h[w].view(np.int64)), pa.array(cid, pa.binary()), pa.array(left[w].astype(np.int32)), pa.array(ctx, pa.binary())],
                         ["tid", "pos", "h", "cid", "left", "ctx"],
                     )
 
-    return found.mapInArrow(run, "tid long, pos int, h long, cid long, left int, ctx binary")
+    return found.mapInArrow(run, "tid binary, pos int, h long, cid binary, left int, ctx binary")
 
 
 class Contexts:
@@ -288,20 +281,24 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+RANGES = "cid binary, n long, low int, high int"
+
+
 def resolve(contexts: DataFrame) -> DataFrame:
-    """(cid, low, high): offsets whose windows occur in another context of the anchor; rows come sorted by h."""
+    """(cid, n, low, high): offsets whose windows occur in another context of the anchor; rows come sorted by h."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
-        h, cid = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        h = rows.column(0).to_numpy()
         start = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
-        items = Contexts(rows.column(2).to_numpy().astype(np.int64), rows.column(3).combine_chunks())
-        ids, low, high = [], [], []
+        items = Contexts(rows.column(3).to_numpy().astype(np.int64), rows.column(4).combine_chunks())
+        own, low, high = [], [], []
         for row, ranges in shared_windows(items, start).items():
             for a, b in merged(ranges):
-                ids.append(cid[row])
+                own.append(row)
                 low.append(a)
                 high.append(b)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["cid", "low", "high"])
+        chosen = rows.take(pa.array(own, pa.int64()))
+        return pa.RecordBatch.from_arrays([chosen.column(1).combine_chunks(), chosen.column(2).combine_chunks(), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["cid", "n", "low", "high"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -322,27 +319,27 @@ def resolve(contexts: DataFrame) -> DataFrame:
         if count:
             yield solve(pa.Table.from_batches(held))
 
-    return contexts.select("h", "cid", "left", "ctx").mapInArrow(run, "cid long, low int, high int")
+    return contexts.select("h", "cid", "n", "left", "ctx").mapInArrow(run, RANGES)
 
 
 def counted(contexts: DataFrame) -> DataFrame:
-    """(cid, low, high) of contexts whose anchors have too many of them for one task: windows by hash."""
+    """(cid, n, low, high) of contexts whose anchors have too many of them for one task: windows by digest."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for i, j, raw, at in kernel.batches(part, "ctx", 1 << 17):
-                p = kernel.prefix_hash(raw)
-                n = np.diff(at) - LENGTH + 1
-                row = np.repeat(np.arange(j - i), n)
-                first = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                s = at[row] + first
-                left = part.column(1).to_numpy()[i:j].astype(np.int64)
-                h = kernel.mix(kernel.span_hash(p, s, s + LENGTH))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(part.column(0).to_numpy()[i:j][row]), pa.array((left[row] - first).astype(np.int32))], ["w", "cid", "low"])
+            for k in range(0, part.num_rows, 256):
+                rows = part.slice(k, 256)
+                w, own, low = [], [], []
+                for r, (left, ctx) in enumerate(zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)):
+                    for first in range(min(left, len(ctx) - LENGTH) + 1):
+                        w.append(name(left - first, ctx[first : first + LENGTH]))
+                        own.append(r)
+                        low.append(left - first)
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), rows.column(0).take(pa.array(own, pa.int64())), rows.column(1).take(pa.array(own, pa.int64())), pa.array(low, pa.int32())], ["w", "cid", "n", "low"])
 
-    windows = contexts.select("cid", "left", "ctx").mapInArrow(run, "w long, cid long, low int").where("low >= 0")
-    often = windows.groupBy("w", "low").agg(F.min("cid").alias("one"), F.max("cid").alias("two")).where("one <> two").select("w", "low")
-    return windows.join(often, ["w", "low"]).select("cid", "low", F.col("low").alias("high"))
+    windows = contexts.select("cid", "n", "left", "ctx").mapInArrow(run, "w binary, cid binary, n long, low int")
+    often = windows.groupBy("w").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("w")  # contexts are distinct, so each counts once
+    return windows.join(often, "w").select("cid", "n", "low", F.col("low").alias("high"))
 
 
 def cut(texts: DataFrame) -> DataFrame:
@@ -371,51 +368,55 @@ def cut(texts: DataFrame) -> DataFrame:
                 sha.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["tid", "n_removed", "n_spans", "kept_sha256"])
 
-    return texts.mapInArrow(run, "tid long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.mapInArrow(run, "tid binary, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
-    scratch = common.Scratch(spark, "suffix")
-    docs = documents.select(F.col(key).alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    docs = docs.select(key, F.xxhash64("text").alias("tid"), "text")
-    rows = scratch.save(docs.select(key, "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "rows")
-    known = F.coalesce(F.col(key).cast("string"), F.lit("")).alias("one")
+    scratch = common.Scratch(spark, "suffix", documents)
+    docs = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    docs = docs.select("key", F.unhex(F.sha2("text", 256)).alias("tid"), "text")
+    rows = scratch.save(docs.select("key", "tid", F.octet_length("text").cast("long").alias("n_bytes")), "rows")
+    known = F.coalesce(F.col("key").cast("string"), F.lit("")).alias("one")
     texts = scratch.save(rows.where(F.col("n_bytes") >= LENGTH).groupBy("tid").agg(F.count(F.lit(1)).alias("n_rows"), F.min(known).alias("one")), "texts")
     found = scratch.save(list_anchors(docs.where(F.octet_length("text") >= LENGTH).select("tid", "text")), "anchors")
-    place = F.xxhash64("tid", "pos")
-    often = found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h")
-    often = scratch.save(often, "often")
-    packed = common.bitmap(often.select(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot")), FILTER_BITS)
-    wanted = only_marked(found, "h", packed, FILTER_BITS).join(often, "h").groupBy("tid").agg(F.collect_set("pos").alias("places"))
+    # Two places at least, told apart by 128 bits: rows of equal texts share their places.
+    one, two = F.xxhash64("tid", "pos"), F.xxhash64("pos", "tid", F.lit(1))
+    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *(f(x).alias(f"{f.__name__}{k}") for k, x in enumerate((one, two)) for f in (F.min, F.max)))
+    often = scratch.save(often.where("min0 <> max0 OR min1 <> max1").select("h", "n"), "often")
+    wanted = common.match(found, often, "h", "n", found.count()).groupBy("tid").agg(F.collect_set("pos").alias("places"))
     wanted = scratch.save(wanted.join(texts, "tid").select("tid", "one", "places"), "wanted")
     scratch.drop("anchors", "often")
-    slots = wanted.select(F.pmod("tid", F.lit(SLOTS)).alias("slot")).distinct()
-    likely = docs.join(F.broadcast(slots), F.pmod("tid", F.lit(SLOTS)) == F.col("slot"), "left_semi").select(known, "tid", "text")
-    bodies = scratch.save(likely.join(wanted, ["tid", "one"]).select("tid", "text", "places"), "bodies")
+    likely = docs.where(F.octet_length("text") >= LENGTH).select(known, "tid", "text")
+    bodies = scratch.save(likely.join(wanted, ["tid", "one"]).dropDuplicates(["tid", "one"]).select("tid", "text", "places"), "bodies")
     ctx = scratch.save(list_contexts(bodies), "contexts")
-    groups = ctx.groupBy("h", "cid").agg(F.count(F.lit(1)).alias("n"))
-    groups = scratch.save(groups, "groups")
-    whole = groups.where("n > 1").select("cid").distinct()
-    several = groups.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    distinct = ctx.select("h", "cid", "left", "ctx").join(several, "h").groupBy("h", "cid").agg(F.first("left").alias("left"), F.first("ctx").alias("ctx"), F.first("m").alias("m"))
-    distinct = scratch.save(distinct, "distinct")
+    # Names come first, without bytes: each context once with its number of places and one of them.
+    groups = ctx.groupBy("h", "cid").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "pos")).alias("at"))
+    groups = scratch.save(groups.select("h", "cid", "n", "at.tid", "at.pos"), "groups")
+    several = scratch.save(groups.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "several")
+    chosen = common.match(groups, several.withColumn("rows", F.col("m")), "h", "rows", groups.count()).select("tid", "pos", "n", "m")
+    distinct = scratch.save(ctx.join(chosen, ["tid", "pos"]).select("h", "cid", "n", "m", "left", "ctx"), "distinct")
     small = distinct.where(F.col("m") <= GROUP).repartition("h").sortWithinPartitions("h", "cid")
-    ranges = resolve(small).union(counted(distinct.where(F.col("m") > GROUP)))
-    ranges = scratch.save(ranges, "ranges")
+    whole = groups.where("n > 1").select("cid", "n", F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
+    ranges = scratch.save(resolve(small).union(counted(distinct.where(F.col("m") > GROUP))), "ranges")
+    marks = ranges.union(whole).groupBy("cid", "n").agg(F.collect_list(F.struct("low", "high")).alias("marks"))
+    marks = scratch.save(marks, "marks")
     places = ctx.select("tid", "pos", "cid", "left", (LENGTH - (F.octet_length("ctx") - F.col("left"))).alias("least"))
-    full = places.join(whole, "cid").select("tid", (F.col("pos") - F.col("left")).alias("a"), (F.col("pos") - F.col("least")).alias("b"))
-    some = places.join(ranges, "cid").select("tid", (F.col("pos") - F.col("high")).alias("a"), (F.col("pos") - F.col("low")).alias("b"))
-    spans = full.union(some).groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    hit = common.match(places, marks, "cid", "n", ctx.count()).select("tid", "pos", "left", "least", F.explode("marks").alias("mark"))
+    spans = hit.select("tid", F.struct((F.col("pos") - F.coalesce("mark.high", "left")).alias("a"), (F.col("pos") - F.coalesce("mark.low", "least")).alias("b")).alias("span"))
+    spans = spans.groupBy("tid").agg(F.collect_list("span").alias("spans"))
     done = scratch.save(cut(bodies.select("tid", "text").join(spans, "tid").select("tid", "text", "spans")), "done")
-    scratch.drop("bodies", "contexts", "distinct", "groups", "ranges", "wanted")
+    scratch.drop("bodies", "contexts", "distinct", "groups", "several", "ranges", "marks", "wanted")
     twins = texts.where("n_rows > 1").select("tid", F.lit(True).alias("twin"))
+    verdicts = scratch.save(done.join(twins, "tid", "full"), "verdicts")
+    # Only rows of equal texts share a key, and all those of LENGTH bytes have a verdict.
+    long = common.match(rows.where(F.col("n_bytes") >= LENGTH), texts.select("tid", "n_rows").join(verdicts, "tid", "left"), "tid", "n_rows", rows.count())
+    out = long.unionByName(rows.where(F.col("n_bytes") < LENGTH), allowMissingColumns=True)
     nothing = hashlib.sha256(b"").hexdigest()
-    out = rows.join(done, "tid", "left").join(twins, "tid", "left")
     return out.select(
-        key,
+        F.col("key").alias(key),
         "n_bytes",
         F.when(F.col("twin"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(F.col("twin"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(F.col("twin"), F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    )
+        F.when(F.col("twin"), F.lit(nothing)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("tid")))).alias("kept_sha256"),
+    ).coalesce(scratch.parts)
