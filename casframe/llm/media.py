@@ -194,7 +194,7 @@ def read_back(containers: DataFrame) -> DataFrame:
 
 def describe(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, n_bytes and the values read back from the store, for each row."""
-    scratch = common.Scratch(spark, "media")
+    scratch = common.Scratch(spark, "media", documents)
     rows = scratch.save(manifest(documents, key, text), "manifest")
     media = scratch.save(rows.groupBy("medium").agg(F.count(F.lit(1)).alias("n_rows"), F.first("chunks").alias("chunks")), "media")
     entries = media.select("medium", "n_rows", F.posexplode("chunks").alias("ord", "digest"))
@@ -213,4 +213,4 @@ def describe(spark: SparkSession, documents: DataFrame, key: str = "doc_id", tex
     chunks = scratch.save(pieces.join(owners, ["medium", "ord"]).select("digest", "body"), "chunks")
     rebuilt = lists.join(chunks, "digest").groupBy("medium").agg(F.sort_array(F.collect_list(F.struct("ord", "body"))).alias("all")).select("medium", F.col("all.body").alias("bodies"))
     values = scratch.save(alone.unionByName(read_back(rebuilt)), "values")
-    return rows.select(key, "n_bytes", "medium").join(values, "medium").drop("medium")
+    return rows.select(key, "n_bytes", "medium").join(values, "medium").drop("medium").coalesce(scratch.parts)

@@ -171,24 +171,36 @@ def compare(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
 def components(scratch: common.Scratch, links: DataFrame, name: str) -> DataFrame:
     """(sid, comp) of all linked nodes: comp is the smallest node that can be reached.
 
-    Labels fall to the least label among neighbours and then to that label's own
-    label, until nothing changes; stars settle in two rounds, long chains in a
-    number of rounds that grows with the logarithm of their length.
+    Each round hooks every component's root to the least neighbouring root, lets
+    roots jump to their root's root until all have arrived, and goes on with the
+    links between roots that differ.  A root that has a smaller neighbour is one no
+    more, so every round ends all local maxima; jumps are logarithmic in a round.
+    Later rounds see only what is left of the links.
     """
-    edges = scratch.save(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-edges")
-    labels = scratch.save(edges.groupBy(F.col("a").alias("sid")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), f"{name}-0")
-    step = 0
-    while True:
-        step += 1
-        near = edges.join(labels.select(F.col("sid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("sid")).agg(F.min("comp").alias("near"))
-        low = labels.join(near, "sid").select("sid", F.col("comp").alias("was"), F.least("comp", "near").alias("low"))
-        jump = labels.select(F.col("sid").alias("low"), F.col("comp").alias("jump"))
-        moved = scratch.save(low.join(jump, "low", "left").select("sid", "was", F.least("low", F.coalesce("jump", "low")).alias("comp")), f"{name}-{step}")
-        scratch.drop(f"{name}-{step - 1}")
-        labels = moved.select("sid", "comp")
-        if moved.where("was <> comp").isEmpty():
-            scratch.drop(f"{name}-edges")
-            return labels
+    edges = scratch.save(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges0")
+    labels, k = None, 0
+    while labels is None or not edges.isEmpty():
+        k += 1
+        both = edges.union(edges.select("b", "a"))
+        up = both.groupBy(F.col("a").alias("root")).agg(F.least(F.min("b"), F.first("a")).alias("up"))
+        up, j = scratch.save(up, f"{name}-up{k}-0"), 0
+        while True:
+            above = up.select(F.col("root").alias("up"), F.col("up").alias("next"))
+            j += 1
+            jumped = scratch.save(up.select("root", "up").join(above, "up").select("root", F.col("next").alias("up"), (F.col("up") != F.col("next")).alias("moved")), f"{name}-up{k}-{j}")
+            scratch.drop(f"{name}-up{k}-{j - 1}")
+            up = jumped.select("root", "up")
+            if jumped.where("moved").isEmpty():
+                break
+        if labels is None:
+            labels = up.toDF("sid", "comp")
+        else:
+            labels = scratch.save(labels.join(up.toDF("comp", "up"), "comp", "left").select("sid", F.coalesce("up", "comp").alias("comp")), f"{name}-{k}")
+        one, two = edges.join(up.toDF("a", "x"), "a").select("x", "b"), up.toDF("b", "y")
+        edges = one.join(two, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        edges = scratch.save(edges, f"{name}-edges{k}")
+        scratch.drop(f"{name}-edges{k - 1}")
+    return labels
 
 
 def together(rows: DataFrame, tested: DataFrame | None = None) -> DataFrame:
@@ -237,7 +249,7 @@ def outside_hub(seen: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def classes(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``documents``."""
-    scratch = common.Scratch(spark, "minhash")
+    scratch = common.Scratch(spark, "minhash", documents)
     signed = scratch.save(sign(documents, key, text), "signed")
     sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("sid"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
     sets = scratch.save(sets, "sets")
@@ -286,7 +298,7 @@ def classes(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text
     found = sets.select("set_a", "set_b", "sid").join(comp, "sid", "left").select("set_a", "set_b", F.coalesce("comp", "sid").alias("component_id"))
     empty = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").join(found, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return full.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).coalesce(scratch.parts)
 
 
 def _texts(documents: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -310,7 +322,7 @@ def _texts(documents: DataFrame, wanted: DataFrame, key: str, text: str) -> Data
 
 def keep_one(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``documents`` with one row of each class; rows with a null id stay."""
-    scratch = common.Scratch(spark, "kept")
+    scratch = common.Scratch(spark, "kept", documents)
     found = scratch.save(classes(spark, documents, key, text, percent), "classes")
     chosen = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     names = [f"c{k}" for k in range(len(documents.columns))]
@@ -320,4 +332,4 @@ def keep_one(spark: SparkSession, documents: DataFrame, key: str = "doc_id", tex
     if not chosen.where("n > 1").isEmpty():
         again = inner.join(chosen.where("n > 1").select(F.col("doc_id").alias("_id")), F.col(own).cast("long") == F.col("_id"), "left_semi")
         out = out.union(again.dropDuplicates([own]))
-    return out.toDF(*documents.columns)
+    return out.toDF(*documents.columns).coalesce(scratch.parts)

@@ -81,7 +81,7 @@ def draw(spark: SparkSession, documents: DataFrame, key: str = "doc_id", source:
     ``budget`` defaults to the tokens of the input.  The driver gathers two numbers
     per source and nothing else; sources are a mixing plan's, thousands at most.
     """
-    scratch = common.Scratch(spark, "mixing")
+    scratch = common.Scratch(spark, "mixing", documents)
     columns = documents.columns
     inner = documents.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)))
     key, source, text = (f"c{columns.index(c)}" for c in (key, source, text))
@@ -114,7 +114,7 @@ def draw(spark: SparkSession, documents: DataFrame, key: str = "doc_id", source:
     copies = scratch.save(copies, "copies")
     if report:
         out = ids.join(copies.withColumnRenamed("src", "s").withColumnRenamed("id", "i"), same("src", "s") & (F.col("id") == F.col("i")))
-        return out.select(F.col("key"), F.col("src"), "tokens", "copies")
+        return out.select(F.col("key"), F.col("src"), "tokens", "copies").coalesce(scratch.parts)
     own = inner.withColumn("_id", F.coalesce(F.col(key).cast("string"), F.lit("\u0000")))
     drawn = own.join(copies, (F.col("_id") == F.col("id")) & same(source, "src")).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return drawn.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)))
+    return drawn.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns))).coalesce(scratch.parts)

@@ -243,7 +243,7 @@ def pack(spark: SparkSession, documents: DataFrame, paths: tuple[str, str] | Non
     range; documents that share a curve key are told apart by their id, so a range
     is not bound to hold all of them.
     """
-    scratch = common.Scratch(spark, "packing")
+    scratch = common.Scratch(spark, "packing", documents)
     encoded = scratch.save(encode(documents, paths or vocabulary_paths(), key, text), "encoded")
     tokens = encoded.agg(F.sum("n_tokens")).first()[0] or 0
     ranges = max(1, -(-2 * tokens // partition_bytes), spark.sparkContext.defaultParallelism if tokens > 1 << 20 else 1)

@@ -189,7 +189,8 @@ def test_densified_signatures_estimate():
 # -- line dedup and mixing ------------------------------------------------------------------------
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("share", [None, 0.5])
+def test_line_dedup(spark, share):
     r = random.Random(7)
     texts = []
     for k in range(60):
@@ -201,7 +202,7 @@ def test_line_dedup(spark):
         texts.append("\n".join(lines))
     texts += [None, "", "\n\n", "common notice", "common notice\nx"]
     df = frame(spark, texts).withColumn("row", F.lit(1)).withColumn("h", F.lit("x"))
-    got = {x["doc_id"]: x for x in line_dedup.dedup(spark, df).collect()}
+    got = {x["doc_id"]: x for x in line_dedup.dedup(spark, df, most_share=share).collect()}
     sites = collections.defaultdict(set)
     for i, t in enumerate(texts):
         for line in (t or "").split("\n"):
@@ -212,7 +213,7 @@ def test_line_dedup(spark):
             lines = t.split("\n")
             bad = [line for line in lines if line.strip(" \t\r") and len(sites[line.strip(" \t\r")]) >= line_dedup.MIN_SITES]
             size = lambda ls: sum(len(x.strip(" \t\r")) for x in ls)
-            if bad and size(bad) <= line_dedup.MOST_SHARE * size(lines):
+            if bad and (share is None or size(bad) <= share * size(lines)):
                 want = "\n".join(x for x in lines if x not in bad)
         assert got[i]["text"] == want
         if want is not None:
