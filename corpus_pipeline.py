@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from casframe.llm import common, line_dedup, minhash, mixing, packing, toxicity
 
+#: A document with more boilerplate than this is taken for a copy and left whole to the next stage.
+COPY_SHARE = 0.5
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = common.table(spark, sf_dir, "labels")
@@ -20,7 +23,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(spark, docs)
+    return line_dedup.dedup(spark, docs, most_share=COPY_SHARE)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +45,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = common.Scratch(spark, "pipeline")
     docs = common.table(spark, sf_dir, "documents")
+    scratch = common.Scratch(spark, "pipeline", docs)
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
