@@ -13,8 +13,12 @@ by construction.  So the model depends on no table.
 Scripts, styles, templates, the head and comments in the markup hold no text.
 Character references are decoded, white space inside a block becomes one blank,
 and the blocks that stay are joined by an empty line, whole and in page order.
-Null and empty pages give the empty text.  Markup that is cut off or not closed
-is read as far as it goes; a tag cut off at the end is dropped.
+Null and empty pages give the empty text; null and repeated keys keep their rows.
+End tags that HTML lets a page omit are implied: the head ends where the body or
+anything that cannot stand in a head begins, a paragraph where a block opens, items,
+cells, rows and terms at the next one or where their list or table ends.  Markup
+that is cut off or not closed is read as far as it goes; a tag cut off at the end is
+dropped.
 """
 
 from __future__ import annotations
@@ -38,6 +42,9 @@ RAW = frozenset("script style noscript template iframe textarea title svg object
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
+# Elements that end an open element of the same row, up to the list or table they stand in.
+ENDS = {tag: frozenset(ends.split()) for tag, ends in {"li": "li", "dt": "dt dd", "dd": "dt dd", "td": "td th", "th": "td th", "tr": "td th tr", "tbody": "td th tr thead tbody", "tfoot": "td th tr thead tbody", "option": "option", "optgroup": "option optgroup"}.items()}
+HOLDERS = frozenset("ul ol menu dl table select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = frozenset("br img input hr wbr td th".split())
 # Ancestor features: a tag name, or words found in class, id or role.
@@ -86,7 +93,7 @@ def leaf_blocks(page: str) -> list[tuple[str, int, int, str]]:
         nonlocal pieces, linked
         if pieces:
             text = " ".join("".join(pieces).split())
-            if text and stack[-1][0] != "head" and not any(t == "head" for t, _ in stack):
+            if text:
                 out.append((text, stack[-1][1], linked, stack[-1][0]))
             pieces, linked = [], 0
 
@@ -96,6 +103,16 @@ def leaf_blocks(page: str) -> list[tuple[str, int, int, str]]:
                 del stack[k:]
                 return
 
+    def imply(tag: str) -> None:
+        """Closes what the start of ``tag`` ends."""
+        if stack[-1][0] == "p":
+            stack.pop()
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] in HOLDERS:
+                return
+            if stack[k][0] in ENDS.get(tag, ()):
+                del stack[k:]
+
     while pos < size:
         lt = page.find("<", pos)
         if lt < 0:
@@ -146,9 +163,8 @@ def leaf_blocks(page: str) -> list[tuple[str, int, int, str]]:
                 pieces.append(" ")
             elif tag in BLOCK:
                 flush()
-                if stack[-1][0] == "p" or tag in ("li", "option", "td", "tr", "dd", "dt") and stack[-1][0] == tag:
-                    stack.pop()
-                if tag not in VOID:
+                imply(tag)
+                if tag not in VOID and tag != "head":  # a head holds no text of its own: what stands in it is the body's
                     stack.append((tag, stack[-1][1] | _marks(tag, attributes)))
                 if tag in ("nav", "article", "footer", "section"):
                     links = 0
@@ -177,7 +193,7 @@ def features(blocks: list[tuple[str, int, int, str]]) -> np.ndarray:
     place = np.arange(n) / max(1, n - 1)
     extra = [
         np.ones(n), np.log1p(size) / 6, size > 80, words > 12, words < 4, link, link > 0.5, ends, np.array(["©" in b[0] or "(c)" in b[0].lower() for b in blocks]), in_body, lone,
-        place, place > 0.85, np.append(0.0, link[:-1]), np.append(link[1:], 0.0), np.array([sum(c.isdigit() for c in b[0][:200]) / max(1, min(200, len(b[0]))) for b in blocks]), np.array(["|" in b[0] or "·" in b[0] or "»" in b[0] for b in blocks]), in_body & ends,
+        place, place > 0.85, np.append(0.0, link[:-1]), np.append(link[1:], 0.0), np.array([sum(map(b[0].count, "0123456789")) / max(1, len(b[0])) for b in blocks]), np.array(["|" in b[0] or "·" in b[0] or "»" in b[0] for b in blocks]), in_body & ends,
         apart, in_body & ~apart, ~in_body & ~apart & (size > 80), in_body & ~apart & title,
     ]
     for k, column in enumerate(extra):
@@ -262,8 +278,21 @@ class _Writer:
             return self.wrap(['div class="popup"', 'div class="subscribe"', 'div id="paywall"'], f"<p>{text()}</p>")
         return self.wrap(["footer", 'div class="footer"', 'div id="foot"'], r.choice([f"&copy; {self.words(1, 3)} &middot; {text()}", f"<p>{text()}</p><ul>{links}</ul>", f"<p>&copy; {self.words(1, 4)}</p>"]))
 
+    def omit(self, page: str) -> str:
+        """The page without some of the tags that HTML lets it omit."""
+        for tags in (["</head>"], ["<body>"], ["</p>"], ["</li>"], ["</td>", "</tr>"], ["</body>", "</html>"]):
+            if self.r.random() < 0.5:
+                for tag in tags:
+                    page = page.replace(tag, "")
+        return page
+
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.12:  # an article without any frame
+            body = self.content()
+            if r.random() < 0.3:
+                body += self.apart()
+            return self.omit(f"<html><head><title>{self.words(2, 5)}</title></head><body>{body}</body></html>")
         before = "".join(self.apart() for _ in range(r.randint(1, 3)))
         after = "".join(self.apart() for _ in range(r.randint(1, 4)))
         body = self.content()
@@ -274,7 +303,8 @@ class _Writer:
         if r.random() < 0.3:
             body = f'<div class="{r.choice(["wrap", "page", "container", "layout"])}">{body}{after}</div>'
             after = ""
-        return f"<!DOCTYPE html><html><head><title>{self.words(2, 5)}</title></head><body>{before}{body}{after}</body></html>"
+        page = f"<!DOCTYPE html><html><head><title>{self.words(2, 5)}</title></head><body>{before}{body}{after}</body></html>"
+        return self.omit(page) if r.random() < 0.15 else page
 
 
 def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[list[tuple[str, int, int, str]], np.ndarray]]:

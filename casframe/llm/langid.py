@@ -6,16 +6,16 @@ product of its pieces' probabilities; a forward pass over the word's bytes
 computes that sum exactly.  A text's score is the sum over its words, and the
 posterior over languages starts from equal priors.
 
-Pieces are those of the vocabulary file that are lower-case letters, after at
-most one space, up to ``PIECE_BYTES`` bytes, and all single bytes, so every word
-has a segmentation.  Probabilities come from expectation-maximisation over the
-word counts of a sample: at most about ``TRAIN_ROWS`` texts for each language,
-chosen by a hash of the key, and their ``TRAIN_WORDS`` most frequent words; each
-language is smoothed with the mixture of all.
+Pieces are all those of the vocabulary file that are lower-case letters, after at
+most one space, of any length, and all single bytes, so every word has a
+segmentation.  Probabilities come from expectation-maximisation over the word counts
+of a sample: all words of at most about ``TRAIN_ROWS`` texts for each language,
+chosen by a hash of the key; each language is smoothed with the mixture of all.
 
 Words are maximal runs of letters, lower-cased.  A null text or one without a
 letter is ``und`` with score 0; so is every text if nothing can be learned.  A
-tie goes to the alphabetically first language.
+tie goes to the alphabetically first language.  Null and repeated keys and repeated
+rows keep their rows.
 """
 
 from __future__ import annotations
@@ -26,15 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casframe.llm import common, kernel
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-PIECE_BYTES = 10
 TRAIN_ROWS = 1200
-TRAIN_WORDS = 12_000
 ROUNDS = 4
 SMOOTH = 200.0
 UNKNOWN = "und"
@@ -47,7 +45,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def read_pieces(path: str, most: int = PIECE_BYTES) -> list[bytes]:
+def read_pieces(path: str) -> list[bytes]:
     """The pieces that can occur in `` word``, and every single byte."""
     out = {bytes([b]) for b in range(256)}
     with open(path, "rb") as lines:
@@ -57,16 +55,16 @@ def read_pieces(path: str, most: int = PIECE_BYTES) -> list[bytes]:
                 word = piece.decode().removeprefix(" ")
             except UnicodeDecodeError:
                 continue
-            if len(piece) <= most and (word == "" or (word.isalpha() and word == word.lower())):
+            if word == "" or (word.isalpha() and word == word.lower()):
                 out.add(piece)
     return sorted(out)
 
 
 class Lattice:
-    """Finds all pieces in a list of words, and runs the forward and backward passes."""
+    """Finds all pieces in a list of words."""
 
     def __init__(self, pieces: list[bytes]) -> None:
-        self.n, self.most = len(pieces), max(map(len, pieces))
+        self.n, self.lengths = len(pieces), sorted(set(map(len, pieces)))
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         end = np.cumsum([len(p) for p in pieces])
         h = kernel.mix(kernel.span_hash(kernel.prefix_hash(raw), end - np.array([len(p) for p in pieces]), end))
@@ -75,133 +73,141 @@ class Lattice:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[h & kernel.U64((1 << _FILTER_BITS) - 1)] = True
 
-    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each length and byte position the piece there (``n`` where none), and the words' bounds."""
+    def edges(self, words: list[str]) -> Edges:
+        """Every place of every piece in the words, each after a space."""
         spelled = [b" " + w.encode() for w in words]
-        at = np.concatenate([[0], np.cumsum([len(w) for w in spelled])]).astype(np.int64)
+        size = np.array([len(w) for w in spelled], np.int64)
+        at = np.concatenate([[0], np.cumsum(size)])
         raw = np.frombuffer(b"".join(spelled), np.uint8)
         p = kernel.prefix_hash(raw)
-        end = np.repeat(at[1:], np.diff(at))
-        out = np.full((self.most, len(raw)), self.n, np.int32)
-        for k in range(1, self.most + 1):
-            s = np.flatnonzero(np.arange(len(raw)) + k <= end)
+        room = np.repeat(at[1:], size) - np.arange(len(raw))
+        starts, lengths, pieces = [], [], []
+        for k in self.lengths:
+            s = np.flatnonzero(room >= k)
+            if not len(s):
+                break
             h = kernel.mix(kernel.span_hash(p, s, s + k))
             hit = self.filter[h & kernel.U64((1 << _FILTER_BITS) - 1)]
             s, h = s[hit], h[hit]
             spot = np.minimum(np.searchsorted(self.keys, h), self.n - 1)
             good = self.keys[spot] == h
-            out[k - 1, s[good]] = self.ids[spot[good]]
-        return out, at[:-1], np.diff(at)
-
-    def forward(self, found: np.ndarray, first: np.ndarray, size: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled forward sums by position, and log-probabilities by word and language."""
-        longest, n = int(size.max()), len(size)
-        alpha = np.zeros((longest + 1, n, prob.shape[1]))
-        alpha[0] = 1.0
-        logs, done = np.zeros((n, prob.shape[1])), np.zeros(n)
-        for p in range(1, longest + 1):
-            live = np.flatnonzero(size >= p)
-            total = np.zeros((len(live), prob.shape[1]))
-            for k in range(1, min(self.most, p) + 1):
-                total += alpha[p - k, live] * prob[found[k - 1, first[live] + p - k]]
-            alpha[p, live] = total
-            if p % 16 == 0:
-                low = live[total.max(1) < 1e-60]
-                alpha[max(0, p - self.most) : p + 1, low] *= 1e60
-                done[low] -= 60 * np.log(10)
-            over = size[live] == p
-            logs[live[over]] = np.log(np.maximum(total[over], 1e-300)) + done[live[over], None]
-        return alpha, logs
-
-    def expected(self, found: np.ndarray, first: np.ndarray, size: np.ndarray, prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected piece counts by language; words must be under 100 bytes, so nothing is rescaled."""
-        longest, n = int(size.max()), len(size)
-        alpha, beta = np.zeros((longest + 1, n, prob.shape[1])), np.zeros((longest + 1, n, prob.shape[1]))
-        alpha[0] = 1.0
-        beta[size, np.arange(n)] = 1.0
-        for p in range(1, longest + 1):
-            live = np.flatnonzero(size >= p)
-            for k in range(1, min(self.most, p) + 1):
-                alpha[p, live] += alpha[p - k, live] * prob[found[k - 1, first[live] + p - k]]
-        for p in range(longest - 1, -1, -1):
-            for k in range(1, self.most + 1):
-                live = np.flatnonzero(size >= p + k)
-                if len(live):
-                    beta[p, live] += beta[p + k, live] * prob[found[k - 1, first[live] + p]]
-        weight = counts / np.maximum(beta[0], 1e-300)
-        out = np.zeros((self.n + 1, prob.shape[1]))
-        for p in range(longest):
-            for k in range(1, self.most + 1):
-                live = np.flatnonzero(size >= p + k)
-                if not len(live):
-                    break
-                piece = found[k - 1, first[live] + p]
-                share = alpha[p, live] * prob[piece] * beta[p + k, live] * weight[live]
-                for lang in range(prob.shape[1]):
-                    out[:, lang] += np.bincount(piece, share[:, lang], self.n + 1)
-        return out[:-1]
+            starts.append(s[good])
+            lengths.append(np.full(int(good.sum()), k))
+            pieces.append(self.ids[spot[good]])
+        start, length, piece = (np.concatenate(x) for x in (starts, lengths, pieces))
+        word = np.repeat(np.arange(len(words)), size)[start]
+        return Edges(size, word, start - at[word], length, piece)
+
+
+class Edges:
+    """The segmentation lattices of a block of words: (word, start, length, piece) of every piece found.
+
+    Sums run in logarithms, so words of any length keep their precision.
+    """
+
+    def __init__(self, size: np.ndarray, word: np.ndarray, start: np.ndarray, length: np.ndarray, piece: np.ndarray) -> None:
+        self.size, self.word, self.start, self.end, self.piece = size, word, start, start + length, piece
+
+    def _sums(self, order: np.ndarray, to: np.ndarray, come: np.ndarray, logp: np.ndarray, out: np.ndarray) -> None:
+        """Adds up paths in ``order``, sorted by (to, word): out[to, word] from out[come, word]."""
+        to, come, word, piece = (x[order] for x in (to, come, self.word, self.piece))
+        head = np.ones(len(to), bool)
+        head[1:] = (to[1:] != to[:-1]) | (word[1:] != word[:-1])
+        first = np.flatnonzero(head)
+        levels = np.flatnonzero(np.diff(to[first], prepend=-1, append=-1))
+        for a, b in zip(levels[:-1].tolist(), levels[1:].tolist(), strict=True):
+            lo, hi = first[a], first[b] if b < len(first) else len(to)
+            value = out[come[lo:hi], word[lo:hi]] + logp[piece[lo:hi]]
+            group = first[a:b] - lo
+            top = np.maximum.reduceat(value, group, axis=0)
+            n = np.diff(np.append(group, hi - lo))
+            out[to[lo], word[first[a:b]]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n, axis=0)), group, axis=0))
+
+    def forward(self, logp: np.ndarray) -> np.ndarray:
+        """Log forward sums by (position, word, language)."""
+        out = np.full((int(self.size.max()) + 1, len(self.size), logp.shape[1]), -np.inf)
+        out[0] = 0.0
+        self._sums(np.lexsort((self.word, self.end)), self.end, self.start, logp, out)
+        return out
+
+    def logs(self, logp: np.ndarray) -> np.ndarray:
+        """Log-probability of each word by language."""
+        return self.forward(logp)[self.size, np.arange(len(self.size))]
+
+    def expected(self, logp: np.ndarray, counts: np.ndarray, pieces: int) -> np.ndarray:
+        """Expected piece counts by language, given each word's count by language."""
+        alpha = self.forward(logp)
+        left = self.size[self.word]
+        beta = np.full_like(alpha, -np.inf)  # by bytes that remain
+        beta[0] = 0.0
+        self._sums(np.lexsort((self.word, left - self.start)), left - self.start, left - self.end, logp, beta)
+        total = alpha[left, self.word]
+        share = np.exp(alpha[self.start, self.word] + logp[self.piece] + beta[left - self.end, self.word] - total) * counts[self.word]
+        return np.stack([np.bincount(self.piece, share[:, k], pieces) for k in range(logp.shape[1])], 1)
 
 
 @dataclass
 class Model:
     langs: list[str]
     pieces: list[bytes]
-    prob: np.ndarray  # (pieces + 1, languages); the last row is zero
+    prob: np.ndarray  # (pieces, languages)
+
+
+def blocks(words: list[str]) -> Iterator[list[int]]:
+    """Words by number in blocks of similar length, which bounds a block's lattice."""
+    order = sorted(range(len(words)), key=lambda k: (len(words[k]), words[k]))
+    i = 0
+    while i < len(order):
+        longest = max(16, 2 * len(words[order[i]]))
+        most = max(1, (1 << 17) // longest)
+        j = i
+        while j < len(order) and j - i < most and len(words[order[j]]) <= longest:
+            j += 1
+        yield order[i:j]
+        i = j
 
 
 def learn(counts: dict[str, dict[str, int]], pieces: list[bytes], rounds: int = ROUNDS) -> Model:
     """Expectation-maximisation from word counts by language."""
     langs = sorted(counts)
-    words = sorted({w for c in counts.values() for w in c if len(w.encode()) < 60})
+    words = sorted({w for c in counts.values() for w in c})
     if not langs or not words:
-        return Model([], pieces, np.zeros((len(pieces) + 1, 0)))
+        return Model([], pieces, np.zeros((len(pieces), 0)))
     lattice = Lattice(pieces)
-    prob = np.zeros((len(pieces) + 1, len(langs)))
-    prob[:-1] = 1.0 / len(pieces)
+    prob = np.full((len(pieces), len(langs)), 1.0 / len(pieces))
     weights = np.array([[counts[x].get(w, 0) for x in langs] for w in words], float)
-    parts = [slice(i, i + 4096) for i in range(0, len(words), 4096)]
-    found = [lattice.edges(words[s]) for s in parts]
+    parts = [(lattice.edges([words[k] for k in part]), weights[part]) for part in blocks(words)]
     for _ in range(rounds):
-        total = sum(lattice.expected(*f, prob, weights[s]) for f, s in zip(found, parts, strict=True))
+        logp = np.log(np.maximum(prob, 1e-300))
+        total = sum(edges.expected(logp, w, len(pieces)) for edges, w in parts)
         pooled = total.sum(1) + 0.01
         pooled /= pooled.sum()
-        prob[:-1] = (total + SMOOTH * pooled[:, None]) / (total.sum(0) + SMOOTH)
-    used = np.flatnonzero(prob[:-1].max(1) > 1e-9)
-    single = np.array([i for i, p in enumerate(pieces) if len(p) == 1])
-    keep = np.union1d(used, single)
-    return Model(langs, [pieces[i] for i in keep], np.concatenate([prob[keep], np.zeros((1, len(langs)))]))
+        prob = (total + SMOOTH * pooled[:, None]) / (total.sum(0) + SMOOTH)
+    single = np.array([len(p) == 1 for p in pieces])
+    keep = np.flatnonzero((prob.max(1) > 1e-9) | single)
+    return Model(langs, [pieces[i] for i in keep], prob[keep])
 
 
-def fit(documents: DataFrame, path: str, rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS, key: str = "doc_id") -> Model:
+def fit(documents: DataFrame, path: str, rows: int = TRAIN_ROWS, key: str = "doc_id") -> Model:
     """The model from ``documents`` (key, text, lang), every row of which may be learned from."""
     known = documents.where("text IS NOT NULL AND lang IS NOT NULL").select(key, "text", "lang")
     totals = dict(map(tuple, known.groupBy("lang").count().collect()))
     if not totals:
-        return Model([], [], np.zeros((1, 0)))
+        return Model([], [], np.zeros((0, 0)))
     share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(1.0, rows / n))) for x, n in sorted(totals.items())))
-    sample = known.where(F.pmod(F.xxhash64(F.col(key), F.lit("langid")), F.lit(1 << 31)) < share * (1 << 31))
+    sample = known.where(F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("langid")), F.lit(1 << 31)) < share * (1 << 31))
     spelled = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
-    top = spelled.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= words)
     counts: dict[str, dict[str, int]] = {}
-    for lang, word, n in top.select("lang", "word", "count").collect():
+    for lang, word, n in zip(*(c.to_pylist() for c in spelled.toArrow().columns), strict=True):
         counts.setdefault(lang, {})[word] = n
     return learn(counts, read_pieces(path))
 
 
 def score_words(lattice: Lattice, prob: np.ndarray, words: list[str]) -> np.ndarray:
     """Log-probability of each word by language."""
-    out = np.zeros((len(words), prob.shape[1]))
-    order = np.argsort([len(w) for w in words], kind="stable")
-    i = 0
-    while i < len(order):
-        longest = max(16, 2 * len(words[order[i]]))
-        j = i
-        while j < len(order) and j - i < 8192 and len(words[order[j]]) <= longest:
-            j += 1
-        part = order[i:j]
-        _, logs = lattice.forward(*lattice.edges([words[k] for k in part]), prob)
-        out[part] = logs
-        i = j
+    out, logp = np.zeros((len(words), prob.shape[1])), np.log(np.maximum(prob, 1e-300))
+    for part in blocks(words):
+        out[part] = lattice.edges([words[k] for k in part]).logs(logp)
     return out
 
 

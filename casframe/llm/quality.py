@@ -4,14 +4,17 @@ The base counts are exact.  A linear-chain CRF labels the lines of a text as
 content or boilerplate (Viterbi decoding); a document is kept if content lines
 hold at least ``content_share`` of its word characters.
 
-The field learns from labelled documents: each line of a document takes the
-document's quality label.  At most ``TRAIN_ROWS`` labelled rows of at most
-``TRAIN_BYTES`` bytes each are used, chosen by a hash of doc_id; lines of a
-document beyond that size are never seen in training, but every text is scored
-whole.  With no labels the field keeps everything the base rules keep.
+The field learns from at most about ``TRAIN_ROWS`` labelled documents, whole
+whatever their size, chosen by a hash of doc_id.  Their lines are cut into runs of
+one to ``2 * RUN - 1`` lines, a run's label is its document's quality, and shuffled
+runs of all documents are laid end to end to training sequences.  So the sequences
+hold content next to boilerplate, with every switch labelled where it happens, and
+the field learns both what lines look like and how labels persist; each line is
+learned from once.  With no labels the field keeps everything the base rules keep.
 
 Null or empty texts have no words and fail the base rules.  Repeated rows give
-repeated results.
+repeated results; null and repeated keys keep their rows.  A key with several labels
+is good if one says so.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from casframe.llm import common, crf, kernel
 
 TRAIN_ROWS = 1500
-TRAIN_BYTES = 16_000
+RUN = 6
+SEQUENCE = 48
 CONTENT_SHARE = 0.5
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, content_lines long, content_share double, base_failed boolean, kept boolean"
 
@@ -154,21 +158,47 @@ def score_block(raw: np.ndarray, at: np.ndarray, model: crf.Crf, content_share:
     }
 
 
-def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> crf.Crf:
-    """The line field, from at most about ``rows`` labelled documents."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    picked = common.spread_sample(known, "doc_id", rows, known.count()).limit(2 * rows)
-    texts = documents.where(F.octet_length("text").between(1, TRAIN_BYTES)).select("doc_id", "text")
-    got = sorted(map(tuple, texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").collect()))
-    sequences = []
-    if got:
-        raw, at = kernel.utf8(pa.array([g[1] for g in got]))
-        features, x = line_features(raw, at)
-        for k, (_, _, label) in enumerate(got):
-            lo, hi = x["first"][k], x["first"][k + 1]
-            if hi - lo <= 64:
-                sequences.append((features[lo:hi], np.full(hi - lo, int(label == 1))))
-    return crf.train(sequences)
+def spliced(features: np.ndarray, first: np.ndarray, labels: np.ndarray, seed: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Training sequences of about SEQUENCE lines, of shuffled runs of all texts' lines."""
+    r = np.random.default_rng(seed)
+    runs = []
+    for k in range(len(first) - 1):
+        at, end = int(first[k]), int(first[k + 1])
+        while at < end:
+            to = min(end, at + int(r.integers(1, 2 * RUN)))
+            runs.append((at, to, k))
+            at = to
+    out, lines, marks = [], [], []
+    for spot, i in enumerate(r.permutation(len(runs)).tolist(), 1):
+        at, to, k = runs[i]
+        lines.append(np.arange(at, to))
+        marks.append(np.full(to - at, int(labels[k])))
+        if sum(map(len, lines)) >= SEQUENCE or spot == len(runs):
+            out.append((features[np.concatenate(lines)], np.concatenate(marks)))
+            lines, marks = [], []
+    return out
+
+
+def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id") -> crf.Crf:
+    """The line field, from at most about ``rows`` labelled documents; only their lines' features reach the driver."""
+    known = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key).agg(F.max("quality").alias("label"))
+    picked = common.spread_sample(known, key, rows, known.count()).limit(2 * rows)
+    texts = documents.where(F.octet_length("text") >= 1).select(key, "text")
+    chosen = texts.join(F.broadcast(picked), key).select(F.xxhash64(F.col(key), "text").alias("place"), "text", (F.col("label") == 1).cast("int").alias("label"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for i, j, raw, at in kernel.batches(part):
+                features, x = line_features(raw, at)
+                bodies = [features[a:b].astype("<f4").tobytes() for a, b in zip(x["first"][:-1].tolist(), x["first"][1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), part.column(2).slice(i, j - i), pa.array(bodies, pa.binary())], ["place", "label", "lines"])
+
+    got = chosen.mapInArrow(run, "place long, label int, lines binary").toArrow().sort_by("place")
+    if not got.num_rows:
+        return crf.train([])
+    width = len(line_features(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0][0])
+    flat = [np.frombuffer(x, "<f4").reshape(-1, width) for x in got.column("lines").to_pylist()]
+    return crf.train(spliced(np.concatenate(flat).astype(float), np.cumsum([0, *map(len, flat)]), got.column("label").to_numpy()))
 
 
 def apply(documents: DataFrame, model: crf.Crf, key: str = "doc_id", text: str = "text", content_share: float = CONTENT_SHARE) -> DataFrame:

@@ -15,11 +15,13 @@ of the mean number of such segments, ``lambda S - log n``.  Two fitted weights
 turn the best significance and the sum over significant segments into the
 probability of label 1.
 
-Labels are learned from at most about ``TRAIN_ROWS`` labelled rows, chosen by a
-hash of the key; half of them give rates while the other half is scored to fit
-the calibration, and the final rates use all.  Null and empty texts have no
-token, no segment and the probability of a text without toxic passages.  Without
-labels of both kinds every score is 0.
+Labels are learned from at most about ``TRAIN_ROWS`` labelled rows, whole whatever
+their size, chosen by a hash of the key; half of them give rates while the other
+half is scored to fit the calibration, and the final rates use all.  Null and empty
+texts have no token, no segment and the probability of a text without toxic
+passages.  Without labels of both kinds every score is 0.  Null and repeated keys
+keep their rows; a key with several labels is toxic if one says so, and null labels
+and labels of null keys teach nothing.  A score equal to the threshold is toxic.
 """
 
 from __future__ import annotations
@@ -56,21 +58,6 @@ def units(word: str) -> list[str]:
     return [word[:k] + "*" for k in PREFIXES if k < len(word)] + [word]
 
 
-def rates(counts: dict[str, tuple[float, float]], toxic: float, clean: float) -> dict[str, float]:
-    """Scores of units from document counts (toxic, clean), shortest first."""
-    base = toxic / (toxic + clean)
-    shift = np.log(base / (1 - base))
-    share: dict[str, float] = {}
-    out: dict[str, float] = {}
-    for unit in sorted(counts, key=len):
-        bad, good = counts[unit]
-        stem = unit.rstrip("*")
-        parent = next((share[p] for k in reversed(PREFIXES) if k < len(stem) and (p := stem[:k] + "*") in share), base)
-        p = share[unit] = (bad + PRIOR * parent) / (bad + good + PRIOR)
-        out[unit] = float(np.clip(np.log(p / (1 - p)) - shift, -_LIMIT, _LIMIT)) - DRIFT
-    return out
-
-
 def word_score(table: dict[str, float], word: str) -> float:
     got = table.get(word)
     if got is None:
@@ -81,15 +68,65 @@ def word_score(table: dict[str, float], word: str) -> float:
     return got
 
 
-def thinned(table: dict[str, float], within: float = 0.1) -> dict[str, float]:
-    """Without the units whose score the next shorter kept unit gives to ``within``."""
-    out: dict[str, float] = {}
-    for unit in sorted(table, key=len):
-        stem = unit.rstrip("*")
-        parent = next((out[p] for k in reversed(PREFIXES) if k < len(stem) and (p := stem[:k] + "*") in out), -DRIFT)
-        if abs(table[unit] - parent) > within:
-            out[unit] = table[unit]
-    return out
+class Units:
+    """The units of a list of words as a forest: each unit's parent is the next shorter prefix.
+
+    ``levels`` holds the units' numbers from the shortest on, ``own`` each word's
+    units as (word, unit) pairs, ``leaf`` each word's own unit.
+    """
+
+    def __init__(self, words: list[str]) -> None:
+        number: dict[str, int] = {}
+        parent: list[int] = []
+        depth: list[int] = []
+        pairs: list[tuple[int, int]] = []
+        leaf = []
+        for k, word in enumerate(words):
+            above = -1
+            for d, unit in enumerate(units(word)):
+                at = number.setdefault(unit, len(number))
+                if at == len(parent):
+                    parent.append(above)
+                    depth.append(d)
+                pairs.append((k, at))
+                above = at
+            leaf.append(above)
+        self.names, self.parent, self.leaf = list(number), np.array(parent, np.int64), np.array(leaf, np.int64)
+        self.own = np.array(pairs, np.int64).reshape(-1, 2)
+        depth = np.array(depth, np.int64)
+        self.levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1 if len(depth) else 0)]
+
+    def documents(self, text: np.ndarray, word: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (text, unit) pairs of (text, word) pairs."""
+        first = np.searchsorted(self.own[:, 0], np.arange(len(self.leaf) + 1))
+        pair = np.unique(text * np.int64(len(self.leaf)) + word)
+        text, word = pair // len(self.leaf), pair % len(self.leaf)
+        n = first[word + 1] - first[word]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[word], n)
+        both = np.unique(np.repeat(text, n) * np.int64(len(self.names)) + self.own[at, 1])
+        return both // len(self.names), both % len(self.names)
+
+    def scores(self, bad: np.ndarray, good: np.ndarray, toxic: float, clean: float) -> np.ndarray:
+        """Each unit's score from its numbers of toxic and clean documents.
+
+        A unit of fewer than LEAST_ROWS documents has its parent's rate.
+        """
+        base = toxic / (toxic + clean)
+        rate = np.full(len(self.names) + 1, base)  # the last stands for the parent of roots
+        for level in self.levels:
+            above, n = rate[self.parent[level]], bad[level] + good[level]
+            rate[level] = np.where(n >= LEAST_ROWS, (bad[level] + PRIOR * above) / (n + PRIOR), above)
+        rate = rate[:-1]
+        return np.clip(np.log(rate / (1 - rate)) - np.log(base / (1 - base)), -_LIMIT, _LIMIT) - DRIFT
+
+    def table(self, scores: np.ndarray, within: float = 0.1) -> dict[str, float]:
+        """Scores by unit without those that the next shorter kept unit gives to ``within``."""
+        kept, chosen = np.append(scores, -DRIFT), np.zeros(len(scores), bool)
+        for level in self.levels:
+            above = kept[self.parent[level]]
+            chosen[level] = np.abs(scores[level] - above) > within
+            kept[level] = np.where(chosen[level], scores[level], above)
+        return {self.names[k]: float(scores[k]) for k in np.flatnonzero(chosen).tolist()}
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -183,58 +220,64 @@ def calibrate_one(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(max(w[1], 0.0))
 
 
-def _count(texts: list[list[str]], y: np.ndarray) -> dict[str, tuple[float, float]]:
-    bad: dict[str, float] = {}
-    good: dict[str, float] = {}
-    for words, label in zip(texts, y, strict=True):
-        into = bad if label else good
-        for unit in {u for w in set(words) for u in units(w)}:
-            into[unit] = into.get(unit, 0.0) + 1.0
-    return {u: (bad.get(u, 0.0), good.get(u, 0.0)) for u in bad.keys() | good.keys() if bad.get(u, 0.0) + good.get(u, 0.0) >= LEAST_ROWS}
-
-
-def learn(texts: list[list[str]], labels: list[int]) -> Model:
-    """The model from token lists and labels."""
+def learn(words: list[str], word: np.ndarray, bound: np.ndarray, labels: list[int]) -> Model:
+    """The model from labelled texts: text k holds ``word[bound[k] : bound[k + 1]]``, numbers in ``words``."""
     y = np.array(labels, float)
     if not len(y) or not 0 < y.sum() < len(y):
         return Model()
     fold = np.random.default_rng(len(y)).permutation(len(y)) % 2  # order of ids must not split the labels
+    forest, text = Units(words), np.repeat(np.arange(len(y)), np.diff(bound))
+    rows, unit = forest.documents(text, word, len(y))
+
+    def fitted(pick: np.ndarray) -> np.ndarray:
+        bad, good = (np.bincount(unit, pick[rows] * (y[rows] == k), len(forest.names)) for k in (1, 0))
+        return forest.scores(bad, good, (pick * y).sum() + 0.5, (pick * (1 - y)).sum() + 0.5)
 
-    def fitted(pick: np.ndarray) -> dict[str, float]:
-        chosen = [texts[i] for i in np.flatnonzero(pick)]
-        return rates(_count(chosen, y[pick]), y[pick].sum() + 0.5, (1 - y[pick]).sum() + 0.5)
+    often = np.bincount(word, (y == 0)[text], len(words))  # tokens of all clean texts
 
-    def decay(table: dict[str, float]) -> float:
-        clean = [word_score(table, w) for i in np.flatnonzero(y == 0)[:400] for w in texts[i]]
-        values, n = np.unique(np.round(clean, 3), return_counts=True)
-        return decay_of(values, n.astype(float))
+    def decay(scores: np.ndarray) -> float:
+        return decay_of(scores[forest.leaf], often)
 
     x = np.zeros((len(y), 2))
     for k in (0, 1):
-        table = fitted(fold != k)
-        rate = decay(table)
+        scores = fitted((fold != k).astype(float))
+        rate, each = decay(scores), scores[forest.leaf][word]
         for i in np.flatnonzero(fold == k):
-            x[i] = evidence(np.array([word_score(table, w) for w in texts[i]]), rate)
-    table = thinned(fitted(np.ones(len(y), bool)))
-    return Model(table, decay(table), calibrate(x, y), True)
-
-
-def tokens(text: str) -> list[str]:
-    raw, at = kernel.utf8(pa.array([text]))
-    low, start, end, _, _ = kernel.letter_words(raw, at)
-    return [low[s:e].tobytes().decode("utf-32-le") for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-
-
-def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", most_bytes: int = 20_000) -> Model:
+            x[i] = evidence(each[bound[i] : bound[i + 1]], rate)
+    scores = fitted(np.ones(len(y)))
+    return Model(forest.table(scores), decay(scores), calibrate(x, y), True)
+
+
+def numbered(column: pa.ChunkedArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct tokens of a text column, each text's tokens by number end to end, and the texts' bounds."""
+    names: list[str] = []
+    number: dict[int, int] = {}
+    parts, sizes = [], [0]
+    raw, at = kernel.utf8(column)
+    for i, j in kernel.blocks(at):
+        low, start, end, first, h = kernel.letter_words(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+        unique, where, back = np.unique(h, return_index=True, return_inverse=True)
+        known = []
+        for key, k in zip(unique.tolist(), where.tolist(), strict=True):
+            if key not in number:
+                number[key] = len(names)
+                names.append(low[start[k] : end[k]].tobytes().decode("utf-32-le"))
+            known.append(number[key])
+        parts.append(np.array(known, np.int64)[back].astype(np.int32))
+        sizes.extend(np.diff(first).tolist())
+    return names, np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64), np.cumsum(sizes)
+
+
+def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id") -> Model:
     """The model from labelled documents; ``labels`` holds the key and toxic.
 
-    Learns from at most about ``rows`` rows with at most ``most_bytes`` bytes of text.
+    Learns from at most about ``rows`` labelled rows.
     """
     known = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(key).agg(F.max("toxic").alias("label"))
     picked = common.spread_sample(known, key, rows, known.count(), "toxic").limit(2 * rows)
-    texts = documents.where(F.octet_length("text").between(1, most_bytes)).select(key, "text")
-    got = sorted(map(tuple, texts.join(F.broadcast(picked), key).select(key, "text", "label").collect()))
-    return learn([tokens(t) for _, t, _ in got], [int(y == 1) for _, _, y in got])
+    texts = documents.where(F.octet_length("text") >= 1).select(key, "text")
+    got = texts.join(F.broadcast(picked), key).select(key, "text", "label").toArrow().sort_by([(key, "ascending"), ("text", "ascending")])
+    return learn(*numbered(got.column("text")), [int(y == 1) for y in got.column("label").to_pylist()])
 
 
 def apply(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, passages: bool = False) -> DataFrame:

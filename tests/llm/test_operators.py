@@ -393,15 +393,34 @@ def all_cuts(word, prob):
 
 def test_forward_sums_all_segmentations():
     pieces = [b" ", b"a", b"b", b" a", b"ab", b"ba", b" ab"]
-    prob = np.array([[0.1, 0.2], [0.2, 0.1], [0.1, 0.3], [0.1, 0.1], [0.2, 0.1], [0.1, 0.1], [0.2, 0.1], [0.0, 0.0]])
+    prob = np.array([[0.1, 0.2], [0.2, 0.1], [0.1, 0.3], [0.1, 0.1], [0.2, 0.1], [0.1, 0.1], [0.2, 0.1]])
     words = ["ab", "aba", "b", "abababab"]
     got = langid.score_words(langid.Lattice(pieces), prob, words)
     for k, w in enumerate(words):
         for lang in range(2):
             want = all_cuts(b" " + w.encode(), {p: prob[i, lang] for i, p in enumerate(pieces)})
             assert math.isclose(got[k, lang], math.log(want), rel_tol=1e-9)
-    long = langid.score_words(langid.Lattice(pieces), prob, ["ab" * 2000])
+    long = langid.score_words(langid.Lattice(pieces), prob, ["ab" * 2000, "a"])
     assert np.isfinite(long).all()
+    edges, logp = langid.Lattice(pieces).edges(words), np.log(prob)
+    shift = np.array([len(p) for p in pieces])[:, None]
+    for lang in range(2):  # the gradient of a word's log-probability by a piece's is that piece's expected count
+        want = np.zeros(len(pieces))
+        for i in range(len(pieces)):
+            up, down = logp.copy(), logp.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            want[i] = (edges.logs(up) - edges.logs(down))[:, lang].sum() / 2e-5
+        got = edges.expected(logp, np.ones((4, 2)), len(pieces))[:, lang]
+        assert np.allclose(got, want, atol=1e-6) and math.isclose((got * shift[:, 0]).sum(), sum(len(w) + 1 for w in words), rel_tol=1e-9)
+
+
+def test_language_pieces_and_words_have_no_bound():
+    pieces = langid.read_pieces(langid.vocabulary_path())
+    assert b" everything" in pieces and max(map(len, pieces)) > 16
+    word = "ab" * 40
+    model = langid.learn({"xx": {word: 50}, "yy": {"cd" * 40: 50}}, pieces)
+    assert langid.score_words(langid.Lattice(model.pieces), model.prob, [word]).argmax() == 0
 
 
 def test_language_id(spark):
@@ -460,6 +479,23 @@ def test_quality(spark):
     assert all(x["kept"] != x["base_failed"] for x in quality.apply(docs, quality.fit(docs, labels.limit(0))).collect() if x["n_words"])
 
 
+def test_quality_labels_lines(spark):
+    """A text of good and bad lines decodes as mixed, and its share says how much is content."""
+    r = random.Random(12)
+    junk = lambda: " | ".join(prose(r, 12).upper().split(" "))
+    good = lambda: prose(r, 12).capitalize() + "."
+    texts = ["\n".join((good if k % 2 else junk)() for _ in range(r.choice([3, 9, 90]))) for k in range(120)]
+    model = quality.fit(frame(spark, texts), spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, quality int"))
+    mixed = ["\n".join([good() for _ in range(a)] + [junk() for _ in range(b)] + [good() for _ in range(c)]) for a, b, c in [(6, 8, 6), (1, 3, 12), (10, 30, 2), (0, 5, 5)]]
+    got = {x["doc_id"]: x for x in quality.apply(frame(spark, mixed), model).collect()}
+    for k, (a, b, c) in enumerate([(6, 8, 6), (1, 3, 12), (10, 30, 2), (0, 5, 5)]):
+        assert abs(got[k]["content_lines"] - (a + c)) <= 1 and 0 < got[k]["content_share"] < 1
+        assert got[k]["kept"] == (got[k]["content_share"] >= quality.CONTENT_SHARE)
+    sequences = quality.spliced(np.arange(300.0)[:, None], np.array([0, 100, 300]), np.array([0, 1]))
+    assert sorted(np.concatenate([f[:, 0] for f, _ in sequences])) == list(range(300))
+    assert all(y == (f >= 100) for fs, ys in sequences for f, y in zip(fs[:, 0], ys, strict=True))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><div>Site name</div></header><nav><ul><li><a href=/a>Home</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies on this site.</p><button>OK</button></div><main><article><h1>The &quot;title&quot;</h1><p>First  paragraph
 with <b>bold</b> &amp; <a href="x">link</a> text that goes on.</p><div class="ad">Buy now!</div><p>Second<br>paragraph of the article, with some words.<ul><li>An item of a list.</li></ul>
@@ -480,6 +516,28 @@ def test_html():
     assert right / total > 0.97
 
 
+def test_html_omitted_tags():
+    model = html_extract.fit()
+    rest = "<article><h1>A title of words</h1><p>The first paragraph, which has several words.</p><p>Another one that goes on for a while.</p></article>"
+    want = "A title of words\n\nThe first paragraph, which has several words.\n\nAnother one that goes on for a while."
+    for page in (
+        f"<html><head><title>x</title></head><body>{rest}</body></html>",
+        f"<html><head><title>x</title><body>{rest}</body></html>",
+        f"<html><head><title>x</title>{rest}",
+        f"<title>x</title>{rest}",
+        f"<head><meta charset=utf-8><title>x</title>{rest.replace('</p>', '')}",
+        rest.replace("article>", "main>"),
+    ):
+        assert html_extract.extract(page, model) == want
+    bare = "<p>The first paragraph, which has several words in it.</p><p>Another one that goes on for a while.</p>"
+    assert html_extract.extract(bare, model) == "The first paragraph, which has several words in it.\n\nAnother one that goes on for a while."
+    cells = html_extract.leaf_blocks("<article><table><tr><td>one<td>two<tr><td>three<ul><li>a<li>b</ul></table><dl><dt>t<dd>d<dt>u</dl>")
+    assert [b[0] for b in cells] == ["one", "two", "three", "a", "b", "t", "d", "u"]
+    assert len({b[1] for b in cells[:3]}) == 1  # none stands in another's cell or row
+    digits = html_extract.features(html_extract.leaf_blocks("<p>" + "x" * 300 + "1" * 300))
+    assert np.isclose(digits, 0.5).any()
+
+
 def test_html_rows(spark):
     model = html_extract.fit(60)
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "v", ""), (4, "w", "<<<>>> & text < 3 </"), (5, "x", "<p" * 50)], "page_id long, url string, html string")
