@@ -9,18 +9,19 @@ fall and rise monotonously in alpha, so bisection over ``STEPS`` halvings ends a
 double precision.
 
 Weights become tokens to draw from each source, ``weight * budget``.  Within a
-source documents lie in blocks; passes over the source permute the blocks by a
-hash of seed and pass, and documents inside a block by another, and a pass ends
-when its budget is met: whole passes first, then the documents whose start in the
-permuted order lies before the rest of the budget.  Running totals are taken over
-blocks, of which there is one for ``BLOCK_ROWS`` documents, and then inside one
-block, so no source is ever in one task, however large.
+source documents lie in blocks; each pass over the source permutes the blocks by a
+hash of seed and pass, and the documents inside a block by another.  A document's
+*position* in a pass is the number of tokens before it in that order.  A pass ends
+when its budget is met: whole passes hold all documents, the last one those whose
+position lies before the rest of the budget.  Running totals are taken over blocks,
+of which there is one for ``BLOCK_ROWS`` documents, and then inside one block, so no
+source is ever in one task, however large.
 
 Rows are drawn with their columns; a document drawn twice appears twice.  A null
 source is a source of its own; a null text counts 0 tokens, and documents without
-tokens are drawn in every started pass.  Tokens are white-space words.  Equal
-hashes are ordered by id; rows that agree in id share one place and are drawn
-together.
+tokens are drawn in every started pass that they lie before the end of.  Tokens are
+white-space words.  Equal hashes are ordered by id; rows that agree in source and id
+share one place and are drawn together.
 """
 
 from __future__ import annotations
@@ -75,8 +76,23 @@ def solve(tokens: dict, budget: float, repeat_limit: float | None = REPEAT_LIMIT
     return alpha, weights(tokens, alpha)
 
 
+def places(ids: DataFrame, quotas: DataFrame, seed: int, last_only: bool) -> DataFrame:
+    """(src, id, pass, position) of the drawn places; with ``last_only`` those of each source's last, partial pass."""
+    passes = F.when(F.lit(last_only), F.array(F.col("full"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("full")))
+    own = ids.join(quotas, F.col("src").eqNullSafe(F.col("q"))).groupBy("src", "id", "blocks", "full", "rest").agg(F.sum("tokens").alias("tokens"))
+    own = own.withColumn("pass", F.explode(passes)).where("pass < full OR rest > 0")
+    own = own.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks"))).withColumn("room", F.when(F.col("pass") < F.col("full"), F.lit((1 << 63) - 1)).otherwise(F.col("rest")))
+    turn = F.xxhash64("block", "pass", F.lit(seed + 1)).alias("turn")
+    blocks = own.groupBy("src", "pass", "block", "room").agg(F.sum("tokens").alias("size")).select("*", turn)
+    before = F.sum("size").over(Window.partitionBy("src", "pass").orderBy("turn", "block")) - F.col("size")
+    started = blocks.withColumn("before", before).where("before < room").select(F.col("src").alias("s"), F.col("pass").alias("p"), F.col("block").alias("b"), "before")
+    inside = own.join(started, F.col("src").eqNullSafe(F.col("s")) & (F.col("pass") == F.col("p")) & (F.col("block") == F.col("b")))
+    order = Window.partitionBy("src", "pass", "block").orderBy(F.xxhash64("id", "pass", F.lit(seed + 2)), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return inside.withColumn("position", F.col("before") + F.sum("tokens").over(order) - F.col("tokens")).where("position < room").select("src", "id", "pass", "position")
+
+
 def draw(spark: SparkSession, documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", budget: int | None = None, repeat_limit: float | None = REPEAT_LIMIT, target_entropy: float | None = None, seed: int = SEED, report: bool = False) -> DataFrame:
-    """The drawn rows; with ``report`` one row per drawn place (key, source, pass, tokens) instead.
+    """The drawn rows; with ``report`` one row per drawn place (key, source, pass from 0, position, tokens) instead.
 
     ``budget`` defaults to the tokens of the input.  The driver gathers two numbers
     per source and nothing else; sources are a mixing plan's, thousands at most.
@@ -85,8 +101,9 @@ def draw(spark: SparkSession, documents: DataFrame, key: str = "doc_id", source:
     columns = documents.columns
     inner = documents.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)))
     key, source, text = (f"c{columns.index(c)}" for c in (key, source, text))
+    name = lambda column: F.coalesce(F.col(column).cast("string"), F.lit("\u0000"))
     ids = inner.select(F.col(key).alias("key"), F.col(source).alias("src"), F.expr(WORDS.replace("text", text)).cast("long").alias("tokens"))
-    ids = scratch.save(ids.withColumn("id", F.coalesce(F.col("key").cast("string"), F.lit("\u0000"))), "ids")
+    ids = scratch.save(ids.withColumn("id", name("key")), "ids")
     totals = {r["src"]: (r["tokens"], r["n"]) for r in ids.groupBy("src").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()}
     tokens = {s: t for s, (t, _) in totals.items()}
     budget = sum(tokens.values()) if budget is None else budget
@@ -96,25 +113,15 @@ def draw(spark: SparkSession, documents: DataFrame, key: str = "doc_id", source:
         quota = math.floor(weight[s] * budget + 1e-9)
         full, rest = divmod(quota, n_tokens) if n_tokens else (1, 0)
         plan.append((s, max(1, -(-n_rows // BLOCK_ROWS)), int(full), int(rest)))
-    quotas = spark.createDataFrame(plan, f"src {ids.schema['src'].dataType.simpleString()}, blocks long, full long, rest long") if plan else spark.createDataFrame([], "src string, blocks long, full long, rest long")
+    quotas = spark.createDataFrame(plan, f"q {ids.schema['src'].dataType.simpleString()}, blocks long, full long, rest long")
     quotas = F.broadcast(quotas) if len(plan) <= 10_000 else quotas
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    placed = ids.join(quotas.withColumnRenamed("src", "q"), same("src", "q")).drop("q")
-    placed = placed.groupBy("src", "id", "key", "blocks", "full", "rest").agg(F.sum("tokens").alias("tokens"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")))
-    last = placed.where("rest > 0").withColumn("turn", F.xxhash64("block", "full", F.lit(seed + 1)))
-    by_block = last.groupBy("src", "block", "turn", "rest").agg(F.sum("tokens").alias("size"))
-    before = by_block.withColumn("before", F.sum("size").over(Window.partitionBy("src").orderBy("turn", "block")) - F.col("size")).where("before < rest")
-    started = before.select(F.col("src").alias("s"), F.col("block").alias("b"), "before")
-    inside = last.join(started, same("src", "s") & (F.col("block") == F.col("b")))
-    order = Window.partitionBy("src", "block").orderBy(F.xxhash64("id", "full", F.lit(seed + 2)), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    partial = inside.withColumn("at", F.col("before") + F.sum("tokens").over(order) - F.col("tokens")).where("at < rest").select("src", "id", F.lit(1).alias("extra"))
-    copies = placed.select("src", "id", "full").join(partial.withColumnRenamed("src", "s").withColumnRenamed("id", "i"), same("src", "s") & (F.col("id") == F.col("i")), "left")
-    copies = copies.select("src", "id", (F.col("full") + F.coalesce("extra", F.lit(0))).alias("copies")).where("copies > 0")
-    copies = scratch.save(copies, "copies")
+    drawn = places(ids, quotas, seed, last_only=not report).select(F.col("src").alias("s"), F.col("id").alias("i"), "pass", "position")
+    same = F.col("src").eqNullSafe(F.col("s")) & (F.col("id") == F.col("i"))
     if report:
-        out = ids.join(copies.withColumnRenamed("src", "s").withColumnRenamed("id", "i"), same("src", "s") & (F.col("id") == F.col("i")))
-        return out.select(F.col("key"), F.col("src"), "tokens", "copies").coalesce(scratch.parts)
-    own = inner.withColumn("_id", F.coalesce(F.col(key).cast("string"), F.lit("\u0000")))
-    drawn = own.join(copies, (F.col("_id") == F.col("id")) & same(source, "src")).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return drawn.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns))).coalesce(scratch.parts)
+        return ids.join(drawn, same).select("key", "src", "pass", "position", "tokens").coalesce(scratch.parts)
+    counts = ids.select("src", "id").distinct().join(quotas, F.col("src").eqNullSafe(F.col("q"))).select("src", "id", "full")
+    counts = counts.join(drawn, same, "left").select("src", "id", (F.col("full") + F.col("i").isNotNull().cast("long")).alias("copies"))
+    copies = scratch.save(counts.where("copies > 0"), "copies")
+    rows = inner.withColumn("_id", name(key)).join(copies, (F.col("_id") == F.col("id")) & F.col(source).eqNullSafe(F.col("src")))
+    rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns))).coalesce(scratch.parts)

@@ -8,12 +8,15 @@ sequence holds neighbours and only the last one is not full; its tail is cut
 into sequences of falling powers of two, so nothing is padded.
 
 Ids are the tokenizer's for the whole text, then ``END_ID``.  Null texts are
-empty and hold ``END_ID`` alone.  Every row is packed, repeated rows too: pieces
-of equal rows keep apart because each row has its own place on the curve.
-
-The pass over the text writes one row per document (key, place on the curve,
-ids) to the shared folder.  Sorting by (curve key, id) ranges that table; each
-range's token total, one number per partition, gives the ranges' first offsets.
+empty and hold ``END_ID`` alone.  Every row is packed, repeated rows and null and
+repeated keys too: each row has its own place on the curve.
+
+The pass over the text writes one row per document (row number, key, curve key,
+ids) to the shared folder.  Only its numbers are range-sorted, by (curve key, key,
+digest of the ids, row number), so no group of equal keys need be in one range.  A
+running sum inside each range and the sums of the ranges before it, of which there
+is one for ``RANGE_ROWS`` documents, give every document its first token's place;
+with it ids are cut, each document by itself.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ LENGTH = 2048
 END_ID = 1
 DIMS = 4
 CELL_BITS = 8
+RANGE_ROWS = 1 << 20
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 CONTRACTED = np.array([ord(c) for c in "stmdrvl"], np.uint32)
@@ -88,8 +92,9 @@ class Tokens:
 
     Texts are cut where the vocabulary's own pattern always cuts them (vectorised
     over code points), and each distinct piece is encoded once while it stays in
-    the table.  Texts in which the fast cut could differ from the pattern, or that
-    spell a special token, go to the tokenizer itself.
+    the table.  Texts in which the fast cut could differ from the pattern are encoded
+    whole by the same vocabulary and pattern in a compiled library; those that spell
+    a special token go to the tokenizer itself.
     """
 
     def __init__(self, tokenizer: str, ranks: str, most: int = 250_000) -> None:
@@ -203,8 +208,8 @@ class Tokens:
 
 
 def encode(documents: DataFrame, paths: tuple[str, str], key: str = "doc_id", text: str = "text", dims: int = DIMS, bits: int = CELL_BITS) -> DataFrame:
-    """Key, n_tokens, curve and ids (little-endian 16-bit) of each row."""
-    source = documents.select(F.col(key).alias(key), F.col(text).alias("text"))
+    """key, n_tokens, curve and ids (little-endian 16-bit) of each row."""
+    source = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(*paths)
@@ -220,10 +225,10 @@ def encode(documents: DataFrame, paths: tuple[str, str], key: str = "doc_id", te
                 cell = np.clip((np.tanh(3 * mean) + 1) * (1 << (bits - 1)), 0, (1 << bits) - 1)
                 bodies = [ids[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).slice(i, j - i), pa.array(n + 1), pa.array(hilbert(cell, bits)), pa.array(bodies, pa.binary())], [key, "n_tokens", "curve", "ids"]
+                    [part.column(0).slice(i, j - i), pa.array(n + 1), pa.array(hilbert(cell, bits)), pa.array(bodies, pa.binary())], ["key", "n_tokens", "curve", "ids"]
                 )
 
-    return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, n_tokens long, curve long, ids binary")
+    return source.mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, n_tokens long, curve long, ids binary")
 
 
 def cuts(total: int, length: int) -> list[int]:
@@ -236,56 +241,55 @@ def cuts(total: int, length: int) -> list[int]:
     return out
 
 
-def pack(spark: SparkSession, documents: DataFrame, paths: tuple[str, str] | None = None, length: int = LENGTH, key: str = "doc_id", text: str = "text", partition_bytes: int = 16 << 20) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def places(scratch: common.Scratch, encoded: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
+    """(uid, at) of every row of ``encoded``: its first token's place on the curve; and the number of all tokens."""
+    order = ["curve", "key", "digest", "uid"]
+    numbers = encoded.select("uid", "curve", "key", F.xxhash64("ids").alias("digest"), "n_tokens")
+    ranges = max(scratch.parts, -(-encoded.count() // range_rows))
+    sorted_ = numbers.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("uid", "n_tokens", F.spark_partition_id().alias("part"))
 
-    ``length`` must be a power of two.  ``partition_bytes`` of ids are meant for one
-    range; documents that share a curve key are told apart by their id, so a range
-    is not bound to hold all of them.
-    """
-    scratch = common.Scratch(spark, "packing", documents)
-    encoded = scratch.save(encode(documents, paths or vocabulary_paths(), key, text), "encoded")
-    tokens = encoded.agg(F.sum("n_tokens")).first()[0] or 0
-    ranges = max(1, -(-2 * tokens // partition_bytes), spark.sparkContext.defaultParallelism if tokens > 1 << 20 else 1)
-    order = ["curve", key, F.xxhash64("ids")]
-    sorted_ = encoded.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    kind = encoded.schema[key].dataType.simpleString()
-
-    def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row's first token in its range, as rows stream by in order."""
         done = 0
         for part in parts:
             n = part.column(1).to_numpy()
             ends = done + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array(ends - n)], [key, "n_tokens", "ids", "part", "at"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ends - n), part.column(1)], ["uid", "part", "inside", "n_tokens"])
             done = int(ends[-1]) if len(n) else done
 
-    placed = sorted_.select(key, "n_tokens", "ids", F.spark_partition_id().alias("part"))
-    ordered = scratch.save(placed.mapInArrow(place, f"{key} {kind}, n_tokens long, ids binary, part int, at long"), "ordered")
-    scratch.drop("encoded")
-    totals = ordered.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
-    base, run_total = {}, 0
-    for row in totals:
-        base[row["part"]] = run_total
-        run_total += row["n"]
-    whole = run_total // length * length
+    placed = scratch.save(sorted_.mapInArrow(run, "uid long, part int, inside long, n_tokens long"), "places")
+    totals = placed.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
+    sums = np.cumsum([0, *(r["n"] for r in totals)]).tolist()
+    first = scratch.spark.createDataFrame([(r["part"], at) for r, at in zip(totals, sums, strict=False)], "part int, first long")
+    return placed.join(F.broadcast(first), "part").select("uid", (F.col("first") + F.col("inside")).alias("at")), sums[-1]
+
+
+def pack(spark: SparkSession, documents: DataFrame, paths: tuple[str, str] | None = None, length: int = LENGTH, key: str = "doc_id", text: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``length`` must be a power of two.
+    """
+    scratch = common.Scratch(spark, "packing", documents)
+    encoded = scratch.save(encode(documents, paths or vocabulary_paths(), key, text).withColumn("uid", F.monotonically_increasing_id()), "encoded")
+    at, total = places(scratch, encoded, range_rows)
+    whole = total // length * length
     tail, spot = [], whole
-    for size in cuts(run_total - whole, length):
-        tail.append((spot, size))
+    for size in cuts(total - whole, length):
+        tail.append(spot)
         spot += size
-    columns = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    tail_at = np.array([t[0] for t in tail] + [run_total], np.int64)
+    tail_at = np.array([*tail, total], np.int64)
+    kind = encoded.schema["key"].dataType.simpleString()
+    columns = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            keys, counts, bodies, where, inner = part.column(0), part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist(), part.column(4).to_pylist()
+            keys, counts, bodies, first = part.column(0), part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist()
             rows, start, size, crc, whole_doc, seq, off = [], [], [], [], [], [], []
             for k, n in enumerate(counts):
-                pos = base[where[k]] + inner[k]
                 ids = np.append(np.frombuffer(bodies[k].as_buffer(), "<u2"), END_ID).astype("<u4")
                 done = 0
                 while done < n:
-                    spot = pos + done
+                    spot = first[k] + done
                     if spot < whole:
                         number, inside = divmod(spot, length)
                         room = length - inside
@@ -303,4 +307,5 @@ def pack(spark: SparkSession, documents: DataFrame, paths: tuple[str, str] | Non
                     done += take
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, size, crc, whole_doc, seq, off))], columns)
 
-    return ordered.select(key, "n_tokens", "ids", "part", "at").mapInArrow(run, f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    cut = encoded.join(at, "uid").select("key", "n_tokens", "ids", "at").mapInArrow(run, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return cut.withColumnRenamed("key", key).coalesce(scratch.parts)

@@ -22,9 +22,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each document is drawn, and its source's quota of tokens."""
+    """Every drawn place: document, source, pass over the source, position in tokens within the pass."""
     documents = table(spark, sf_dir, "documents")
-    return mixing.draw(spark, documents, report=True).select(F.col("key").alias("doc_id"), F.col("src").alias("source"), "tokens", F.col("copies").cast("long").alias("copies"))
+    return mixing.draw(spark, documents, report=True).select(F.col("key").alias("doc_id"), F.col("src").alias("source"), F.col("pass").cast("long").alias("pass"), "position", "tokens")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,6 +254,24 @@ def test_mixing_rows(spark, monkeypatch):
     for s in tokens:
         own = [copies[i] for i, _, _, src, _ in rows if src == s and per[i]]
         assert max(own) - min(own) <= 1
+    # The permutation by its definition: blocks in the order of their hashes, documents inside by theirs.
+    seed, parts = mixing.SEED, collections.Counter(s for _, _, _, s, _ in rows)
+    hashed = {x["doc_id"]: x for x in df.select("doc_id", *(F.xxhash64(F.col("doc_id").cast("string"), *more).alias(n) for n, more in (("b", [F.lit(seed)]), ("p0", [F.lit(0).cast("long"), F.lit(seed + 2)]), ("p1", [F.lit(1).cast("long"), F.lit(seed + 2)])))).collect()}
+    turns = {(x["b"], x["p"]): x["t"] for x in spark.range(40).select(F.col("id").alias("b"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("p")).select("b", "p", F.xxhash64("b", "p", F.lit(seed + 1)).alias("t")).collect()}
+    want = set()
+    for s in tokens:
+        full, rest = divmod(math.floor(w[s] * budget + 1e-9), tokens[s])
+        own = [i for i, _, _, src, _ in rows if src == s]
+        blocks = -(-parts[s] // 8)
+        for p in range(full + (rest > 0)):
+            at = 0
+            for i in sorted(own, key=lambda i: (turns[hashed[i]["b"] % blocks, p], hashed[i]["b"] % blocks, hashed[i][f"p{p}"], str(i))):
+                if p < full or at < rest:
+                    want.add((i, s, p, at, per[i]))
+                at += per[i]
+    places = [tuple(x) for x in mixing.draw(spark, df, report=True).collect()]
+    assert len(places) == len(want) and set(places) == want
+    assert collections.Counter(x[0] for x in places) == copies
     assert sorted(map(tuple, mixing.draw(spark, df).collect()), key=repr) == sorted(map(tuple, out.collect()), key=repr)
     assert mixing.draw(spark, df.limit(0)).count() == 0
 
@@ -270,7 +288,7 @@ def test_packing(spark):
     want = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
     pieces = collections.defaultdict(list)
     spots = collections.defaultdict(list)
-    for r in packing.pack(spark, frame(spark, texts), length=256).collect():
+    for r in packing.pack(spark, frame(spark, texts), length=256, range_rows=9).collect():
         pieces[r["doc_id"]].append(r)
         spots[r["sequence_id"]].append((r["offset"], r["length"]))
     for i, ids in want.items():
@@ -322,10 +340,12 @@ def test_media_cuts_resist_edits():
     r = random.Random(2)
     data = prose(r, 20_000).encode()
     table = media.gear_table()
-    digest = lambda b: {c for _, _, cs in media.payloads(pa.record_batch([pa.array([b.decode()])], ["text"]), "text", table) for c in cs}
+    digest = lambda b: {c for _, _, cs in media.files(pa.record_batch([pa.array([b.decode()])], ["text"]), "text", table) for c in cs}
     assert len(digest(b"new words " + data) - digest(data)) <= 3
     with pytest.raises(ValueError, match="reads back"):
-        media.described(b"\0" * 32, media.encode(b"x" * 64))
+        media.described(b"\0" * 32, hashlib.sha256(b"x" * 64).digest(), media.encode(b"x" * 64))
+    _, payload, chunks = next(media.files(pa.record_batch([pa.array([data.decode()])], ["text"]), "text", table))
+    assert len(chunks) > 10 and b"".join(chunks) == media.encode(payload)  # the stored form is the file
 
 
 # -- models ---------------------------------------------------------------------------------------
