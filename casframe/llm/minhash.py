@@ -18,11 +18,12 @@ similarity is ``PERCENT`` per cent or more; classes are the components of links.
    share a shingle that the hub lacks, or what they share lies in the hub, and then
    its size, ``min(|x & hub|, |y & hub|)``, must suffice.  So where a hub's members
    are not yet in one component, members that share a shingle outside the hub (by
-   prefix filtering, which loses none) make new, smaller buckets with stars of their
-   own, without the hub, and pairs that the sizes allow are confirmed directly.
-   This repeats until the buckets left hold no more pairs than the first level had
-   (often none); all of those are confirmed.  So every link between members of a
-   bucket is found.
+   prefix filtering, which loses none) meet in new buckets, and pairs that the sizes
+   inside the hub allow are confirmed directly.  A new bucket of up to ``SMALL``
+   members has all its pairs of different components confirmed; a larger one goes
+   the same way again, with a star of its own and without the hub.  This ends when
+   no larger bucket is left, so every link between members of a bucket is found or
+   joins two texts that are in one component already.
 
 No bucket, partner or pair is capped or dropped for its size.  Null and
 empty texts are classes of their own; rows with a null id keep a null class and
@@ -31,6 +32,7 @@ are kept; rows that repeat an id count as one node with all their texts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,7 @@ WIDTH = 5
 PERCENT = 75
 BINS = 128
 BANDS = 32
+SMALL = 32
 U64 = np.uint64
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -203,12 +206,9 @@ def components(scratch: common.Scratch, links: DataFrame, name: str) -> DataFram
     return labels
 
 
-def together(rows: DataFrame, tested: DataFrame | None = None) -> DataFrame:
-    """(line, bucket, sid, size) of the buckets with two members or more, but for pairs compared before."""
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("size > 1")
-    if tested is not None:
-        shared = shared.where("size > 2").union(shared.where("size = 2").join(tested, ["a", "b"], "left_anti").select("bucket", "size", "a", "b"))
-    shared = shared.select("bucket", "size")
+def together(rows: DataFrame) -> DataFrame:
+    """(line, bucket, sid, size) of the buckets with two members or more."""
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return rows.join(shared, "bucket").select("line", "bucket", "sid", "size")
 
 
@@ -244,7 +244,23 @@ def outside_hub(seen: DataFrame, percent: int = PERCENT) -> DataFrame:
     each = Window.partitionBy("line", "sid")
     ranked = spread.join(mixed(spread), "bucket").withColumn("n", F.count(F.lit(1)).over(each)).where("n >= need").withColumn("rank", F.row_number().over(each.orderBy("size", "bucket")))
     prefix = ranked.where("rank <= n - need + 1").select("line", "bucket", "sid", "comp")
-    return prefix.join(mixed(prefix).select("bucket"), "bucket").select("line", "bucket", "sid")
+    return prefix.join(mixed(prefix), "bucket").select("line", "bucket", "sid", "comp", "size")
+
+
+def inside_hub(seen: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): members of a line in different components that could link by what they share inside the hub.
+
+    What x shares with the hub must then suffice for x and y together, so it lies
+    between what y shares and ``percent`` of that; classes of sizes by that factor
+    are joined with their own and the next.
+    """
+    room = seen.where(f"100 * both >= {percent} * nb").select("line", "b", "nb", "both", "comp").withColumn("class", F.floor(F.log("both") / math.log(100 / percent)).cast("long"))
+    several = room.groupBy("line").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("line")
+    room = room.join(several, "line")
+    x, y = (room.select("line", "class", *(F.col(c).alias(f"{c}_{side}") for c in ("b", "nb", "both", "comp"))) for side in "xy")
+    y = y.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1)))
+    fits = f"comp_x <> comp_y AND (both_x < both_y OR (both_x = both_y AND b_x < b_y)) AND 100 * both_x >= {percent} * (nb_x + nb_y - both_x)"
+    return x.join(y, ["line", "class"]).where(fits).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
 
 
 def classes(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -257,44 +273,36 @@ def classes(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text
     members = scratch.save(together(every), "members-0")
     wanted = members.select("sid").distinct().join(sets.select("sid", "set_a", "set_b"), "sid")
     texts = scratch.save(_texts(documents, wanted, key, text), "texts")
-    links, direct, tested, first, step = None, None, None, 0, 0
+    links, tested, step = None, None, 0
     while True:
         rays = scratch.save(stars(members), f"rays-{step}")
-        first = rays.count() if step == 0 else first
         pairs = rays.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tested = scratch.save(pairs.distinct() if tested is None else tested.union(pairs).distinct(), f"tested-{step}")
         compared = scratch.save(compare(rays.select("a", "b").distinct(), texts, percent), f"compared-{step}")
-        more = [compared.where("linked").select("a", "b")]
-        if direct is not None:
-            more.append(compare(direct, texts, percent).where("linked").select("a", "b"))
-        for part in more:
-            links = part if links is None else links.union(part)
-        links = scratch.save(links, f"links-{step}")
+        new = compared.where("linked").select("a", "b")
+        links = scratch.save(new if links is None else links.union(new), f"linked-{step}")
         comp = components(scratch, links, f"comp-{step}")
         step += 1
         seen = rays.join(comp.select(F.col("sid").alias("b"), "comp"), "b", "left").withColumn("comp", F.coalesce("comp", "b"))
         apart = seen.groupBy("line").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("line")
         seen = seen.join(apart, "line").join(compared, ["a", "b"]).select("line", "b", "nb", "both", "comp", "outside")
         seen = scratch.save(seen, f"seen-{step}")
-        scratch.drop(*(f"{t}-{step - 1}" for t in ("compared", "rays", "members", "direct", "seen")), *(f"{t}-{step - 2}" for t in ("tested", "links")))
-        common.free(spark)
+        scratch.drop(*(f"{t}-{step - 1}" for t in ("compared", "rays", "members", "seen", "tried", "links")))
         if seen.isEmpty():
             break
-        x, y = (seen.select("line", *(F.col(c).alias(f"{c}_{side}") for c in ("b", "nb", "both", "comp"))) for side in "xy")
-        fits = f"comp_x <> comp_y AND (both_x < both_y OR (both_x = both_y AND b_x < b_y)) AND 100 * both_x >= {percent} * (nb_x + nb_y - both_x)"
-        room = f"100 * both >= {percent} * nb"  # what two texts share inside the hub must be this much of each
-        direct = x.where(room.replace("both", "both_x").replace("nb", "nb_x")).join(y.where(room.replace("both", "both_y").replace("nb", "nb_y")), "line").where(fits)
-        direct = scratch.save(direct.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct(), f"direct-{step}")
-        members = scratch.save(together(outside_hub(seen, percent), tested), f"members-{step}")
-        twice = members.agg(F.sum(F.col("size") - 1)).first()[0] or 0
-        if twice <= 2 * first:
-            x, y = (members.select("bucket", F.col("sid").alias(c)) for c in "ab")
-            rest = x.join(y, "bucket").where("a < b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti").union(direct).distinct()
-            rest = scratch.save(rest, "rest")
-            if not rest.isEmpty():
-                links = scratch.save(links.union(compare(rest, texts, percent).where("linked").select("a", "b")), "links-rest")
-                comp = components(scratch, links, "comp-rest")
+        outside = scratch.save(outside_hub(seen, percent), f"outside-{step}")
+        few = outside.where(F.col("size") <= SMALL)
+        x, y = (few.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("sid", "comp"))) for side in "xy")
+        close = x.join(y, "bucket").where("sid_x < sid_y AND comp_x <> comp_y").select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b"))
+        close = scratch.save(close.union(inside_hub(seen, percent)).distinct().join(tested, ["a", "b"], "left_anti"), f"close-{step}")
+        links = scratch.save(links.union(compare(close, texts, percent).where("linked").select("a", "b")), f"links-{step}")
+        members = scratch.save(outside.where(F.col("size") > SMALL).select("line", "bucket", "sid", "size"), f"members-{step}")
+        tested = scratch.save(tested.union(close), f"tried-{step}")
+        scratch.drop(f"outside-{step}", f"close-{step}", f"tested-{step - 1}", f"linked-{step - 1}")
+        if members.isEmpty():
+            comp = components(scratch, links, "comp-last")
             break
+        common.free(spark)
     found = sets.select("set_a", "set_b", "sid").join(comp, "sid", "left").select("set_a", "set_b", F.coalesce("comp", "sid").alias("component_id"))
     empty = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").join(found, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
