@@ -26,6 +26,7 @@ and labels of null keys teach nothing.  A score equal to the threshold is toxic.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -71,40 +72,34 @@ def word_score(table: dict[str, float], word: str) -> float:
 class Units:
     """The units of a list of words as a forest: each unit's parent is the next shorter prefix.
 
-    ``levels`` holds the units' numbers from the shortest on, ``own`` each word's
-    units as (word, unit) pairs, ``leaf`` each word's own unit.
+    ``levels`` holds the units' numbers from the shortest on, ``leaf`` each word's own
+    unit, and word k has the units ``own[first[k] : first[k + 1]]``.
     """
 
     def __init__(self, words: list[str]) -> None:
         number: dict[str, int] = {}
-        parent: list[int] = []
-        depth: list[int] = []
-        pairs: list[tuple[int, int]] = []
-        leaf = []
-        for k, word in enumerate(words):
+        parent, depth, own, first, leaf = array("i"), array("i"), array("i"), array("i", [0]), array("i")
+        for word in words:
             above = -1
             for d, unit in enumerate(units(word)):
                 at = number.setdefault(unit, len(number))
                 if at == len(parent):
                     parent.append(above)
                     depth.append(d)
-                pairs.append((k, at))
+                own.append(at)
                 above = at
+            first.append(len(own))
             leaf.append(above)
-        self.names, self.parent, self.leaf = list(number), np.array(parent, np.int64), np.array(leaf, np.int64)
-        self.own = np.array(pairs, np.int64).reshape(-1, 2)
+        self.names = list(number)
+        self.parent, self.leaf, self.own, self.first = (np.array(x, np.int64) for x in (parent, leaf, own, first))
         depth = np.array(depth, np.int64)
         self.levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1 if len(depth) else 0)]
 
-    def documents(self, text: np.ndarray, word: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (text, unit) pairs of (text, word) pairs."""
-        first = np.searchsorted(self.own[:, 0], np.arange(len(self.leaf) + 1))
-        pair = np.unique(text * np.int64(len(self.leaf)) + word)
-        text, word = pair // len(self.leaf), pair % len(self.leaf)
-        n = first[word + 1] - first[word]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[word], n)
-        both = np.unique(np.repeat(text, n) * np.int64(len(self.names)) + self.own[at, 1])
-        return both // len(self.names), both % len(self.names)
+    def documents(self, words: np.ndarray) -> np.ndarray:
+        """The distinct units of a text's words."""
+        words = np.unique(words)
+        n = self.first[words + 1] - self.first[words]
+        return np.unique(self.own[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[words], n)])
 
     def scores(self, bad: np.ndarray, good: np.ndarray, toxic: float, clean: float) -> np.ndarray:
         """Each unit's score from its numbers of toxic and clean documents.
@@ -226,26 +221,28 @@ def learn(words: list[str], word: np.ndarray, bound: np.ndarray, labels: list[in
     if not len(y) or not 0 < y.sum() < len(y):
         return Model()
     fold = np.random.default_rng(len(y)).permutation(len(y)) % 2  # order of ids must not split the labels
-    forest, text = Units(words), np.repeat(np.arange(len(y)), np.diff(bound))
-    rows, unit = forest.documents(text, word, len(y))
-
-    def fitted(pick: np.ndarray) -> np.ndarray:
-        bad, good = (np.bincount(unit, pick[rows] * (y[rows] == k), len(forest.names)) for k in (1, 0))
-        return forest.scores(bad, good, (pick * y).sum() + 0.5, (pick * (1 - y)).sum() + 0.5)
-
-    often = np.bincount(word, (y == 0)[text], len(words))  # tokens of all clean texts
-
-    def decay(scores: np.ndarray) -> float:
-        return decay_of(scores[forest.leaf], often)
+    forest = Units(words)
+    counts = np.zeros((2, 2, len(forest.names)), np.int32)  # documents by fold, label and unit
+    often = np.zeros(len(words))  # tokens of all clean texts
+    for i in range(len(y)):
+        own = word[bound[i] : bound[i + 1]]
+        counts[fold[i], int(y[i]), forest.documents(own)] += 1
+        if not y[i]:
+            np.add.at(often, own, 1)
+
+    def fitted(folds: list[int]) -> np.ndarray:
+        good, bad = counts[folds].sum(0)
+        some = np.isin(fold, folds)
+        return forest.scores(bad, good, y[some].sum() + 0.5, (1 - y[some]).sum() + 0.5)
 
     x = np.zeros((len(y), 2))
     for k in (0, 1):
-        scores = fitted((fold != k).astype(float))
-        rate, each = decay(scores), scores[forest.leaf][word]
+        scores = fitted([1 - k])[forest.leaf]
+        rate = decay_of(scores, often)
         for i in np.flatnonzero(fold == k):
-            x[i] = evidence(each[bound[i] : bound[i + 1]], rate)
-    scores = fitted(np.ones(len(y)))
-    return Model(forest.table(scores), decay(scores), calibrate(x, y), True)
+            x[i] = evidence(scores[word[bound[i] : bound[i + 1]]], rate)
+    scores = fitted([0, 1])
+    return Model(forest.table(scores), decay_of(scores[forest.leaf], often), calibrate(x, y), True)
 
 
 def numbered(column: pa.ChunkedArray) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -265,7 +262,7 @@ def numbered(column: pa.ChunkedArray) -> tuple[list[str], np.ndarray, np.ndarray
             known.append(number[key])
         parts.append(np.array(known, np.int64)[back].astype(np.int32))
         sizes.extend(np.diff(first).tolist())
-    return names, np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64), np.cumsum(sizes)
+    return names, np.concatenate(parts) if parts else np.zeros(0, np.int32), np.cumsum(sizes)
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id") -> Model:
