@@ -14,17 +14,21 @@ similarity is ``PERCENT`` per cent or more; classes are the components of links.
 3. Each bucket proposes a star: its hub, which is the member that meets most others
    over all buckets, with every other member.  Pairs are linear in the members, and
    each is confirmed on the full sets.
-4. A star can miss a link between two points x and y.  If it does, either they
-   share a shingle that the hub lacks, or what they share lies in the hub, and then
-   its size, ``min(|x & hub|, |y & hub|)``, must suffice.  So where a hub's members
-   are not yet in one component, members that share a shingle outside the hub (by
-   prefix filtering, which loses none) meet in new buckets, and pairs that the sizes
-   inside the hub allow are confirmed directly.  A new bucket of up to ``SMALL``
-   members has all its pairs of different components confirmed; a larger one goes
-   the same way again, with a star of its own and without the hub.  This ends when
-   no larger bucket is left, so every link between members of a bucket is found or
-   joins two texts that are in one component already.
-
+4. A star can miss a link between two points.  Where a hub's members are not yet in
+   one component, those outside the largest are compared with all of its members in
+   blocks of ``BLOCK`` texts: each text moves once for a pair of blocks, and its set
+   meets the others in one matrix product.  No pair is a row.
+5. That is done for every hub as long as it moves at most ``COPIES`` times as many
+   texts as there are; hubs for which it would move more go a further step first.  A
+   link that is missing there lies either on a shingle that the hub lacks, or inside
+   the hub, and then its size, ``min(|x & hub|, |y & hub|)``, must suffice.  Members
+   that share a shingle outside the hub (by prefix filtering, which loses none) meet
+   in new buckets: up to ``SMALL`` members have all their pairs of different
+   components confirmed, larger ones get a star of their own, without the hub, and
+   pairs that the sizes inside the hub allow are confirmed directly.
+
+So every link between members of a bucket is found or joins two texts that are in
+one component already.
 No bucket, partner or pair is capped or dropped for its size.  Null and
 empty texts are classes of their own; rows with a null id keep a null class and
 are kept; rows that repeat an id count as one node with all their texts.
@@ -47,6 +51,8 @@ PERCENT = 75
 BINS = 128
 BANDS = 32
 SMALL = 32
+BLOCK = 128
+COPIES = 2
 U64 = np.uint64
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -247,6 +253,51 @@ def outside_hub(seen: DataFrame, percent: int = PERCENT) -> DataFrame:
     return prefix.join(mixed(prefix), "bucket").select("line", "bucket", "sid", "comp", "size")
 
 
+def families(seen: DataFrame) -> DataFrame:
+    """(line, largest, lefts, rights, copies): a line's largest component, how many blocks hold the members
+    outside of it and all members, and how many texts their comparison moves."""
+    sizes = seen.groupBy("line", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("line").agg(F.sum("n").alias("m"), F.max(F.struct("n", "comp")).alias("top"))
+    blocks = lambda n: F.ceil(n / BLOCK)
+    sizes = sizes.select("line", F.col("top.comp").alias("largest"), "m", (F.col("m") - F.col("top.n")).alias("rest")).where("rest > 0")
+    sizes = sizes.withColumn("lefts", blocks(F.col("rest"))).withColumn("rights", blocks(F.col("m")))
+    return sizes.select("line", "largest", "lefts", "rights", (F.col("rest") * F.col("rights") + F.col("m") * F.col("lefts")).alias("copies"))
+
+
+def across(seen: DataFrame, lines: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): the links of each line's members outside its largest component with any of its members."""
+    rows = seen.select("line", F.col("b").alias("sid"), "comp").join(lines, "line")
+    slot = lambda seed, n: F.pmod(F.xxhash64("sid", F.lit(seed)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.where("comp <> largest").select("line", "sid", F.lit(True).alias("own"), slot(1, "lefts").alias("i"), every("rights").alias("j"))
+    right = rows.select("line", "sid", F.lit(False).alias("own"), every("lefts").alias("i"), slot(2, "rights").alias("j"))
+    placed = left.union(right).join(texts, "sid").select("line", "i", "j", "own", "sid", "text")
+
+    def link(group: pa.Table) -> pa.Table:
+        own, sid = group.column("own").to_numpy(), group.column("sid").to_numpy()
+        win, bound = shingle_sets(*kernel.utf8(group.column("text")))
+        n, text = np.diff(bound), np.repeat(np.arange(len(sid)), np.diff(bound))
+        _, win = np.unique(win, return_inverse=True)
+        x, y = np.flatnonzero(own), np.flatnonzero(~own)
+        place = np.empty(len(sid), np.int64)
+        place[x], place[y] = np.arange(len(x)), np.arange(len(y))
+        both = np.zeros((len(x), len(y)), np.float32)
+        order = np.argsort(win, kind="stable")
+        win, text = win[order], text[order]
+        for k in range(0, int(win[-1]) + 1 if len(win) else 0, 1 << 14):
+            part = slice(*np.searchsorted(win, [k, k + (1 << 14)]))
+            one, two = np.zeros((len(x), 1 << 14), np.float32), np.zeros((len(y), 1 << 14), np.float32)
+            mine = own[text[part]]
+            one[place[text[part][mine]], win[part][mine] - k] = 1
+            two[place[text[part][~mine]], win[part][~mine] - k] = 1
+            both += one @ two.T
+        good = (100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)) & (both > 0) & (sid[x][:, None] != sid[y][None, :])
+        a, b = np.nonzero(good)
+        a, b = sid[x[a]], sid[y[b]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return placed.groupBy("line", "i", "j").applyInArrow(link, "a long, b long")
+
+
 def inside_hub(seen: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): members of a line in different components that could link by what they share inside the hub.
 
@@ -287,18 +338,28 @@ def classes(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text
         apart = seen.groupBy("line").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("line")
         seen = seen.join(apart, "line").join(compared, ["a", "b"]).select("line", "b", "nb", "both", "comp", "outside")
         seen = scratch.save(seen, f"seen-{step}")
-        scratch.drop(*(f"{t}-{step - 1}" for t in ("compared", "rays", "members", "seen", "tried", "links")))
+        scratch.drop(*(f"{t}-{step - 1}" for t in ("compared", "rays", "members", "seen", "tried", "near")))
         if seen.isEmpty():
             break
+        lines = scratch.save(families(seen), f"lines-{step}")
+        most = COPIES * sets.count()
+        last = (lines.agg(F.sum("copies")).first()[0] or 0) <= most
+        now = lines if last else lines.where(F.col("rights") <= 2)
+        links = scratch.save(links.union(across(seen, now, texts, percent)), f"links-{step}")
+        scratch.drop(f"linked-{step - 1}")
+        if last:
+            comp = components(scratch, links, "comp-last")
+            break
+        seen = seen.join(lines.where(F.col("rights") > 2).select("line"), "line")
         outside = scratch.save(outside_hub(seen, percent), f"outside-{step}")
         few = outside.where(F.col("size") <= SMALL)
         x, y = (few.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("sid", "comp"))) for side in "xy")
         close = x.join(y, "bucket").where("sid_x < sid_y AND comp_x <> comp_y").select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b"))
         close = scratch.save(close.union(inside_hub(seen, percent)).distinct().join(tested, ["a", "b"], "left_anti"), f"close-{step}")
-        links = scratch.save(links.union(compare(close, texts, percent).where("linked").select("a", "b")), f"links-{step}")
+        links = scratch.save(links.union(compare(close, texts, percent).where("linked").select("a", "b")), f"near-{step}")
         members = scratch.save(outside.where(F.col("size") > SMALL).select("line", "bucket", "sid", "size"), f"members-{step}")
         tested = scratch.save(tested.union(close), f"tried-{step}")
-        scratch.drop(f"outside-{step}", f"close-{step}", f"tested-{step - 1}", f"linked-{step - 1}")
+        scratch.drop(f"outside-{step}", f"close-{step}", f"tested-{step - 1}", f"links-{step}", f"lines-{step}")
         if members.isEmpty():
             comp = components(scratch, links, "comp-last")
             break

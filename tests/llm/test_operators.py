@@ -167,6 +167,47 @@ def test_minhash_one_bucket(spark, monkeypatch):
     assert [got[i] for i in range(4)] == [c for _, c in brute_classes(texts)] == [0, 1, 2, 2]
 
 
+def brute_links(texts):
+    """Components by all pairs, with sets as rows of a matrix."""
+    import numpy as np
+
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split(" ") for t in texts)]
+    number = {s: k for k, s in enumerate(sorted({s for x in sets for s in x}))}
+    rows = np.zeros((len(sets), len(number)), np.float32)
+    for k, x in enumerate(sets):
+        rows[k, [number[s] for s in x]] = 1
+    both, n = rows @ rows.T, rows.sum(1)
+    a, b = np.nonzero(100 * both >= 75 * (n[:, None] + n[None, :] - both))
+    comp = np.arange(len(sets))
+    while True:
+        low = comp.copy()
+        np.minimum.at(low, a, comp[b])
+        if (low == comp).all():
+            return comp.tolist()
+        comp = low
+
+
+@pytest.mark.parametrize("copies", [2, 0])
+def test_minhash_large_family(spark, monkeypatch, copies):
+    """3,400 near copies around the threshold, compared in blocks at once or after stars of their own: no link is lost."""
+    monkeypatch.setattr(minhash, "COPIES", copies if copies else 0.2)
+    n = 3400 if copies else 700
+    texts = family(21, n, 10)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.classes(spark, frame(spark, texts)).collect()}
+    assert [got[i] for i in range(n)] == brute_links(texts)
+
+
+def test_components_of_chains(spark):
+    """Paths, in awkward orders too, settle in few rounds."""
+    for path in ([1, *range(300, 1, -1)], list(range(1, 301)), [x for k in range(1, 151) for x in (k, 301 - k)]):
+        links = spark.createDataFrame(list(zip(path, path[1:], strict=False)), "a long, b long")
+        scratch = minhash.common.Scratch(spark, "chain", links)
+        saves, save = [], scratch.save
+        scratch.save = lambda df, name, save=save, saves=saves: (saves.append(name), save(df, name))[1]
+        assert {(r["sid"], r["comp"]) for r in minhash.components(scratch, links, "c").collect()} == {(k, 1) for k in range(1, 301)}
+        assert len(saves) <= 40
+
+
 def test_minhash_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.classes(spark, df).collect()), key=repr)
