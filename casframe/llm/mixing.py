@@ -76,19 +76,37 @@ def solve(tokens: dict, budget: float, repeat_limit: float | None = REPEAT_LIMIT
     return alpha, weights(tokens, alpha)
 
 
-def places(ids: DataFrame, quotas: DataFrame, seed: int, last_only: bool) -> DataFrame:
-    """(src, id, pass, position) of the drawn places; with ``last_only`` those of each source's last, partial pass."""
+def _order(seed: int, salt: int, *columns: str) -> F.Column:
+    return F.xxhash64(*columns, F.lit(seed + salt))
+
+
+def started(ids: DataFrame, quotas: DataFrame, seed: int, last_only: bool) -> tuple[DataFrame, DataFrame]:
+    """Each place a document can have (src, id, block, pass, room, tokens), and the blocks (src, pass, block, turn, before, room) that a pass comes to."""
     passes = F.when(F.lit(last_only), F.array(F.col("full"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("full")))
     own = ids.join(quotas, F.col("src").eqNullSafe(F.col("q"))).groupBy("src", "id", "blocks", "full", "rest").agg(F.sum("tokens").alias("tokens"))
     own = own.withColumn("pass", F.explode(passes)).where("pass < full OR rest > 0")
-    own = own.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks"))).withColumn("room", F.when(F.col("pass") < F.col("full"), F.lit((1 << 63) - 1)).otherwise(F.col("rest")))
-    turn = F.xxhash64("block", "pass", F.lit(seed + 1)).alias("turn")
-    blocks = own.groupBy("src", "pass", "block", "room").agg(F.sum("tokens").alias("size")).select("*", turn)
+    own = own.withColumn("block", F.pmod(_order(seed, 0, "id"), F.col("blocks"))).withColumn("room", F.when(F.col("pass") < F.col("full"), F.lit((1 << 63) - 1)).otherwise(F.col("rest")))
+    blocks = own.groupBy("src", "pass", "block", "room").agg(F.sum("tokens").alias("size")).withColumn("turn", _order(seed, 1, "block", "pass"))
     before = F.sum("size").over(Window.partitionBy("src", "pass").orderBy("turn", "block")) - F.col("size")
-    started = blocks.withColumn("before", before).where("before < room").select(F.col("src").alias("s"), F.col("pass").alias("p"), F.col("block").alias("b"), "before")
-    inside = own.join(started, F.col("src").eqNullSafe(F.col("s")) & (F.col("pass") == F.col("p")) & (F.col("block") == F.col("b")))
-    order = Window.partitionBy("src", "pass", "block").orderBy(F.xxhash64("id", "pass", F.lit(seed + 2)), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return inside.withColumn("position", F.col("before") + F.sum("tokens").over(order) - F.col("tokens")).where("position < room").select("src", "id", "pass", "position")
+    return own, blocks.withColumn("before", before).where("before < room")
+
+
+def placed(own: DataFrame, blocks: DataFrame, seed: int) -> DataFrame:
+    """(src, id, pass, block, hash, position) of the drawn documents of the blocks."""
+    blocks = blocks.select(F.col("src").alias("s"), F.col("pass").alias("p"), F.col("block").alias("b"), "before")
+    inside = own.join(blocks, F.col("src").eqNullSafe(F.col("s")) & (F.col("pass") == F.col("p")) & (F.col("block") == F.col("b"))).withColumn("hash", _order(seed, 2, "id", "pass"))
+    order = Window.partitionBy("src", "pass", "block").orderBy("hash", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return inside.withColumn("position", F.col("before") + F.sum("tokens").over(order) - F.col("tokens")).where("position < room").select("src", "id", "pass", "block", "hash", "position")
+
+
+def ends(ids: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
+    """A row for each source: its whole passes, and the last block and document that its partial pass comes to (null without one)."""
+    own, blocks = started(ids, quotas, seed, last_only=True)
+    last = blocks.groupBy("src").agg(F.max(F.struct("turn", "block", "pass", "before")).alias("end")).select("src", "end.*")
+    cut = placed(own, last, seed).groupBy("src").agg(F.max(F.struct("hash", "id")).alias("cut"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    last = last.select(F.col("src").alias("s"), F.struct("turn", "block").alias("end"))
+    return quotas.join(last, same("q", "s"), "left").drop("s").join(cut, same("q", "src"), "left").drop("src")
 
 
 def draw(spark: SparkSession, documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", budget: int | None = None, repeat_limit: float | None = REPEAT_LIMIT, target_entropy: float | None = None, seed: int = SEED, report: bool = False) -> DataFrame:
@@ -115,13 +133,15 @@ def draw(spark: SparkSession, documents: DataFrame, key: str = "doc_id", source:
         plan.append((s, max(1, -(-n_rows // BLOCK_ROWS)), int(full), int(rest)))
     quotas = spark.createDataFrame(plan, f"q {ids.schema['src'].dataType.simpleString()}, blocks long, full long, rest long")
     quotas = F.broadcast(quotas) if len(plan) <= 10_000 else quotas
-    drawn = places(ids, quotas, seed, last_only=not report).select(F.col("src").alias("s"), F.col("id").alias("i"), "pass", "position")
-    same = F.col("src").eqNullSafe(F.col("s")) & (F.col("id") == F.col("i"))
     if report:
-        return ids.join(drawn, same).select("key", "src", "pass", "position", "tokens").coalesce(scratch.parts)
-    counts = ids.select("src", "id").distinct().join(quotas, F.col("src").eqNullSafe(F.col("q"))).select("src", "id", "full")
-    counts = counts.join(drawn, same, "left").select("src", "id", (F.col("full") + F.col("i").isNotNull().cast("long")).alias("copies"))
-    copies = scratch.save(counts.where("copies > 0"), "copies")
-    rows = inner.withColumn("_id", name(key)).join(copies, (F.col("_id") == F.col("id")) & F.col(source).eqNullSafe(F.col("src")))
-    rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        drawn = placed(*started(ids, quotas, seed, last_only=False), seed).select(F.col("src").alias("s"), F.col("id").alias("i"), "pass", "position")
+        return ids.join(drawn, F.col("src").eqNullSafe(F.col("s")) & (F.col("id") == F.col("i"))).select("key", "src", "pass", "position", "tokens").coalesce(scratch.parts)
+    # A source's end is one row, so each document knows from its own id whether the partial pass comes to it: no text moves.
+    limits = scratch.save(ends(ids, quotas, seed), "ends")
+    limits = F.broadcast(limits) if len(plan) <= 10_000 else limits
+    rows = inner.withColumn("id", name(key)).join(limits, F.col(source).eqNullSafe(F.col("q")))
+    rows = rows.withColumn("block", F.pmod(_order(seed, 0, "id"), F.col("blocks")))
+    at = F.struct(_order(seed, 1, "block", "full").alias("turn"), F.col("block"))
+    extra = F.when(at < F.col("end"), 1).when((at == F.col("end")) & (F.struct(_order(seed, 2, "id", "full").alias("hash"), F.col("id")) <= F.col("cut")), 1).otherwise(0)
+    rows = rows.withColumn("_pass", F.col("full") + extra).where("_pass > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_pass"))))
     return rows.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns))).coalesce(scratch.parts)
