@@ -8,7 +8,7 @@ within ``MIN_CHUNK`` and ``MAX_CHUNK`` bytes, so an edit moves few cuts.
 1. A manifest pass encodes each row's file and lists its SHA-256 (the medium), the
    payload's SHA-256, and the file's ordered chunk digests.  No payload travels.
 2. Digests that occur twice or more, found by aggregation, and media of several
-   rows make a medium *shared*.  A bitmap of eight bits or more for each shared
+   rows make a medium *shared*.  A bitmap of 64 bits or more for each shared
    medium, MOST_BITS in all at most, marks them; what it marks by chance is only
    stored the other way.
 3. A storing pass writes each file's chunks, compressed.  What the bitmap does not
@@ -44,7 +44,7 @@ UNIT = 64
 MIN_CHUNK = 1024
 MAX_CHUNK = 16384
 CUT_BITS = 12
-MOST_BITS = 1 << 26
+MOST_BITS = 1 << 27
 RATE = 8000
 U64 = np.uint64
 
@@ -205,21 +205,25 @@ def describe(spark: SparkSession, documents: DataFrame, key: str = "doc_id", tex
     often = scratch.save(entries.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     linked = common.match(entries.select("digest", "medium"), often, "digest", "n", entries.count()).select("medium")
     shared = scratch.save(media.where("n_rows > 1").select("medium").union(linked).distinct(), "shared")
-    bits = min(MOST_BITS, 1 << max(16, (8 * shared.count()).bit_length()))
+    bits = min(MOST_BITS, 1 << max(16, (64 * shared.count()).bit_length()))
     parted = stored(documents, text, common.bitmap(shared.select(_slot("medium", bits).alias("slot")), bits))
+    scratch.drop("often", "shared")
     path = f"{scratch.base}/store"
     parted.coalesce(scratch.parts).write.partitionBy("marked").option("compression", "uncompressed").parquet(path)
     store = spark.read.schema("medium binary, payload binary, bodies array<binary>, marked boolean").parquet(path)
     alone = read_back(store.where("NOT marked"))
     once = store.where("marked").groupBy("medium").agg(F.first("payload").alias("payload"), F.first("bodies").alias("bodies"))
     own = scratch.save(once, "once")
+    scratch.drop("store/marked=true")
     lists = scratch.save(entries.join(own.select("medium"), "medium", "left_semi").select("medium", "ord", "digest"), "lists")
     owners = lists.groupBy("digest").agg(F.min(F.struct("medium", "ord")).alias("o"), F.count(F.lit(1)).alias("n")).select("digest", "n", "o.medium", "o.ord")
     pieces = own.select("medium", F.posexplode("bodies").alias("ord", "body"))
     chunks = scratch.save(pieces.join(owners, ["medium", "ord"]).select("digest", "n", "body"), "chunks")
+    scratch.drop("once", "entries")
     rebuilt = common.match(lists, chunks, "digest", "n", lists.count()).groupBy("medium").agg(F.sort_array(F.collect_list(F.struct("ord", "body"))).alias("all"))
-    rebuilt = rebuilt.join(own.select("medium", "payload"), "medium").select("medium", "payload", F.col("all.body").alias("bodies"))
+    rebuilt = rebuilt.join(media.select("medium", "payload"), "medium").select("medium", "payload", F.col("all.body").alias("bodies"))
     values = scratch.save(alone.unionByName(read_back(rebuilt)), "values")
+    scratch.drop("store", "chunks", "lists")
     counted = values.join(media.select("medium", "n_rows"), "medium")
     out = common.match(rows.select("key", "n_bytes", "medium"), counted, "medium", "n_rows", rows.count()).drop("medium")
     return out.withColumnRenamed("key", key).coalesce(scratch.parts)

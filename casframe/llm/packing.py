@@ -122,9 +122,9 @@ class Tokens:
             self.slow = Tokenizer.from_file(self.path)
         return self.slow.encode(text, add_special_tokens=False).ids
 
-    def _add(self, words: list[str], base: int) -> None:
-        encode, ranks = self.fast.encode_ordinary, self.ranks
-        ids = [[r] if (r := ranks.get(w.encode())) is not None else encode(w) for w in words]
+    def _add(self, pieces: list[bytes], base: int) -> None:
+        encode, ranks = self.fast._encode_single_piece, self.ranks
+        ids = [[r] if (r := ranks.get(w)) is not None else encode(w) for w in pieces]
         n = np.array([len(x) for x in ids], np.int64)
         flat = np.array([i for x in ids for i in x], np.uint16)
         while self.used + len(flat) > len(self.pool):
@@ -153,12 +153,17 @@ class Tokens:
         space = kind == 3
         after = np.zeros(n, np.uint32)
         after[:-1] = points[1:]
-        strange = (points == 39) & np.isin(after, CONTRACTED) | (points == 60) & (after == 124)
+        quote = np.flatnonzero(points == 39)
+        strange = (points == 60) & (after == 124)
+        strange[quote] |= np.isin(after[quote], CONTRACTED)
         strange |= space & ((before == 3) | (points != 32) & (points != 10)) | (points > 0xFFFF) & (kind != 0)
         strange[opens] |= space[opens]
         last = bound[1:][np.diff(bound) > 0] - 1
         strange[last] |= space[last]
         at_odd = np.flatnonzero(strange)
+        byte = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        if len(byte) != n + 1:  # not UTF-8: decoding has replaced bytes
+            at_odd = opens
         # A blank is glued to what follows it; a newline stands alone.
         starts = (kind != before) & (before != 3) | (points == 10)
         glued = np.zeros(n, bool)
@@ -186,7 +191,8 @@ class Tokens:
         new = np.flatnonzero(got < 0)
         if len(new):
             spots = where[new]
-            self._add([points[a:b].tobytes().decode("utf-32-le") for a, b in zip(s[spots].tolist(), e[spots].tolist(), strict=True)], base)
+            body = raw.tobytes()
+            self._add([body[a:b] for a, b in zip(byte[s[spots]].tolist(), byte[e[spots]].tolist(), strict=True)], base)
             got[new] = np.arange(base, base + len(new))
             rows.update(zip(unique[new].tolist(), got[new].tolist(), strict=True))
         row = got[back]
