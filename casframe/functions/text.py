@@ -103,6 +103,10 @@ def contains_text(columns: list[Column], needle: str) -> Column:
 
 
 def eligible(chunk_hash: Column, modulus: int = 1024) -> Column:
-    """Global-dedup eligibility: the last 8-byte word, read as an unsigned number, is a multiple."""
-    word = F.substring(chunk_hash, 61, 4)
-    return F.pmod(F.conv(word, 16, 10).cast("long"), F.lit(modulus)) == 0
+    """Global-dedup eligibility: the hash's last 8 bytes, read as an unsigned number, are a multiple of ``modulus``.
+
+    The number does not fit a long, so its halves are reduced on their own;
+    ``modulus`` is under 2**31.
+    """
+    high, low = (F.conv(F.substring(chunk_hash, at, 8), 16, 10).cast("long") for at in (49, 57))
+    return ((high % modulus) * ((1 << 32) % modulus) + low) % modulus == 0

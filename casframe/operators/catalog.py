@@ -97,3 +97,41 @@ def delete_outcomes(requests: DataFrame, file_index: DataFrame, owned: DataFrame
     outcome = F.when(F.col("known").isNull(), "not_found").when(F.col("n_owners").isNull(), F.when(satisfies(F.col("scope"), F.lit("admin")), "ok").otherwise("forbidden")).when(F.col("holds").isNull(), "forbidden").otherwise("ok")
     left = F.coalesce(F.col("n_owners") - 1, F.lit(0))
     return r.withColumn("outcome", outcome).select("request_id", "outcome", F.when(F.col("outcome") == "ok", left == 0).alias("deleted"), F.when(F.col("outcome") == "ok", left).alias("remaining_owners"))
+
+
+def put_shards(incoming: DataFrame, existing: DataFrame, index: DataFrame, owned: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Puts shards (shard_hash, file_hash, owner_id, logical_bytes, created_at_unix, seq): what was inserted, and
+    the file index (file_hash, shard_hash, seq) and claims after.  Both are refreshed for known shards too."""
+    status = put_if_absent(incoming.groupBy("shard_hash").agg(F.countDistinct("file_hash").alias("n_files")), existing, "shard_hash")
+    after = upsert_latest(index.select("file_hash", "shard_hash", "seq").union(incoming.select("file_hash", "shard_hash", "seq")), "file_hash")
+    columns = ["file_hash", "owner_id", "seq", "logical_bytes", "created_at_unix"]
+    return status, after, upsert_claims(owned.select(*columns).union(incoming.select(*columns)))
+
+
+def remove_files(index: DataFrame, owned: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """File index and claims without the files: claims go with the entry, whoever holds them."""
+    return remove(index, gone, ["file_hash"]), remove(owned, gone, ["file_hash"])
+
+
+def remove_archives(locations: DataFrame, layouts: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunk locations and layouts without the archives."""
+    return remove(locations, gone, ["archive_id"]), remove(layouts, gone, ["archive_id"])
+
+
+def named(entries: DataFrame) -> DataFrame:
+    """A client's catalogue: (client, file_hash, name, place), newest first, each file once with its newest name."""
+    latest = entries.groupBy("client", "file_hash").agg(F.max(F.struct("seq", "name")).alias("v")).select("client", "file_hash", F.col("v.name").alias("name"), F.col("v.seq").alias("seq"))
+    return latest.select("client", "file_hash", "name", F.row_number().over(Window.partitionBy("client").orderBy(F.desc("seq"))).cast("long").alias("place"))
+
+
+def layouts(index: DataFrame, header: int = 8) -> DataFrame:
+    """(archive_id, layout): the archive's chunks as JSON, in order."""
+    chunk = F.struct(F.col("chunk_idx").alias("i"), F.col("chunk_hash").alias("hash"), F.col("n_bytes").alias("size"))
+    listed = F.sort_array(F.collect_list(chunk))
+    return index.groupBy("archive_id").agg(F.to_json(F.struct(F.sum(F.col("n_bytes") + header).alias("bytes"), listed.alias("chunks"))).alias("layout"))
+
+
+def decoded_layouts(layouts_: DataFrame) -> DataFrame:
+    """(archive_id, chunk_idx, chunk_hash, n_bytes, num_bytes_on_disk) of JSON layouts."""
+    read = layouts_.select("archive_id", F.from_json("layout", "bytes long, chunks array<struct<i: long, hash: string, size: long>>").alias("l"))
+    return read.select("archive_id", F.col("l.bytes").alias("num_bytes_on_disk"), F.explode("l.chunks").alias("c")).select("archive_id", "num_bytes_on_disk", F.col("c.i").alias("chunk_idx"), F.col("c.hash").alias("chunk_hash"), F.col("c.size").alias("n_bytes"))

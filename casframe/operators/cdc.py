@@ -149,7 +149,7 @@ def probe_candidates(placed: DataFrame, modulus_hit: str = "eligible") -> DataFr
     return placed.where(F.col("ord").isNotNull()).withColumn("after", F.lag("resolved", 1, False).over(w)).withColumn("head", F.row_number().over(w) == 1).where(f"NOT resolved AND (head OR after OR {modulus_hit})").drop("after", "head")
 
 
-def probe_dedup(chunks: DataFrame, index: DataFrame, eligible, most_rounds: int = 64) -> DataFrame:
+def probe_dedup(chunks: DataFrame, index: DataFrame, eligible) -> DataFrame:
     """Sampled dedup to its fixpoint: (file_hash, ord, chunk_hash, resolved).
 
     Each round probes all candidates not probed yet; a hit resolves every chunk of
@@ -157,7 +157,7 @@ def probe_dedup(chunks: DataFrame, index: DataFrame, eligible, most_rounds: int
     """
     state = chunks.select("file_hash", "ord", "chunk_hash", "n_bytes").withColumn("eligible", eligible).withColumn("resolved", F.lit(False)).withColumn("probed", F.lit(False))
     where = index.select("chunk_hash", "archive_id")
-    for _ in range(most_rounds):
+    while True:  # each round probes a chunk that no round has probed, so it ends
         asks = probe_candidates(state).where("NOT probed").select("file_hash", "chunk_hash").distinct()
         state = state.drop("asked").join(asks.withColumn("asked", F.lit(True)), ["file_hash", "chunk_hash"], "left").withColumn("probed", F.coalesce("asked", "probed")).drop("asked")
         hits = asks.join(where, "chunk_hash").select("file_hash", "archive_id").distinct()

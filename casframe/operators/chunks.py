@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casframe.functions.access import hmac_sha256
+
 PER_ARCHIVE = 64
 RANK_GROUP = 1024
 
@@ -43,12 +45,16 @@ def positions(rows: DataFrame, major: str, order: list[Column], name: str = "pos
     """Adds each row's place in a global order that starts with the non-negative column ``major``.
 
     No window runs over all rows: rows are ranked inside groups of ``group``
-    consecutive values of ``major``, and the groups' counts, one row per group,
-    are summed up before.
+    consecutive values of ``major``, the groups' counts are summed up inside spans of
+    ``group`` groups, and the spans' counts before: one row for ``group * group``
+    values is all that meets in one task.
     """
     grouped = rows.withColumn("_g", F.floor(F.col(major) / group))
-    counts = grouped.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    prefix = counts.select("_g", (F.sum("_n").over(Window.orderBy("_g")) - F.col("_n")).alias("_before"))
+    counts = grouped.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.floor(F.col("_g") / group))
+    spans = counts.groupBy("_s").agg(F.sum("_n").alias("_m"))
+    spans = spans.select("_s", (F.sum("_m").over(Window.orderBy("_s")) - F.col("_m")).alias("_base"))
+    inside = F.sum("_n").over(Window.partitionBy("_s").orderBy("_g")) - F.col("_n")
+    prefix = counts.withColumn("_in", inside).join(spans, "_s").select("_g", (F.col("_base") + F.col("_in")).alias("_before"))
     ranked = grouped.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy(*order)))
     return ranked.join(prefix, "_g").withColumn(name, (F.col("_before") + F.col("_r") - 1).cast("long")).drop("_g", "_before", "_r")
 
@@ -102,6 +108,11 @@ def lookup(probes: DataFrame, index: DataFrame) -> DataFrame:
     return index.join(hit, "archive_id", "left_semi")
 
 
-def keyed(hashes: DataFrame, key: str, column: str = "chunk_hash") -> DataFrame:
-    """Chunk hashes under a dedup key, so that a lookup does not reveal stored hashes."""
-    return hashes.withColumn("keyed_hash", F.sha2(F.concat(F.lit(key), F.col(column)), 256))
+def keyed(hashes: DataFrame, key: bytes, column: str = "chunk_hash") -> DataFrame:
+    """Chunk hashes under a dedup key (HMAC), so that a lookup does not reveal stored hashes."""
+    return hashes.withColumn("keyed_hash", hmac_sha256(key, F.col(column)))
+
+
+def keyed_lookup(probes: DataFrame, index: DataFrame, key: bytes) -> DataFrame:
+    """Probed chunks that are stored, found by their keyed hashes alone."""
+    return keyed(probes.select("chunk_hash").distinct(), key).join(keyed(index, key).drop("chunk_hash"), "keyed_hash")

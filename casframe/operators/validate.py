@@ -34,3 +34,30 @@ def term_violations(terms: DataFrame, index: DataFrame) -> DataFrame:
 
 def files_without_terms(files: DataFrame, terms: DataFrame) -> DataFrame:
     return files.join(terms.select("file_hash").distinct(), "file_hash", "left_anti")
+
+
+def wrong_file_hashes(declared: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(seq, file_hash, real) of declared files (seq, body, file_hash) whose content has another hash.
+
+    ``chunks`` are (body, ord, data); ``body`` names a content.
+    """
+    data = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "data"))), lambda x: x["data"]), "")
+    real = chunks.groupBy("body").agg(F.sha2(data, 256).alias("real"))
+    return declared.join(real, "body").where("file_hash <> real").select("seq", "file_hash", "real")
+
+
+def wrong_archives(declared: DataFrame, index: DataFrame) -> DataFrame:
+    """(archive_id, rule) of declared archives (archive_id, archive_hash) that are empty or whose hash is another."""
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_idx", "chunk_hash"))), lambda x: x["chunk_hash"]), "")
+    real = index.groupBy("archive_id").agg(F.sha2(listed, 256).alias("real"))
+    rule = F.when(F.col("real").isNull(), "archive_empty").when(F.col("real") != F.col("archive_hash"), "archive_hash_mismatch")
+    return declared.join(real, "archive_id", "left").select("archive_id", rule.alias("rule")).where("rule IS NOT NULL")
+
+
+def index_violations(claimed: DataFrame, index: DataFrame) -> DataFrame:
+    """(chunk_hash, archive_id, chunk_idx, rule) of claimed locations whose archive is missing or holds another chunk there."""
+    known = index.select("archive_id").distinct().withColumn("known", F.lit(True))
+    there = index.select("archive_id", "chunk_idx", F.col("chunk_hash").alias("stored"))
+    rule = F.when(F.col("known").isNull(), "archive_missing").when(~F.col("chunk_hash").eqNullSafe(F.col("stored")), "chunk_mismatch")
+    found = claimed.join(known, "archive_id", "left").join(there, ["archive_id", "chunk_idx"], "left")
+    return found.select("chunk_hash", "archive_id", "chunk_idx", rule.alias("rule")).where("rule IS NOT NULL")

@@ -13,7 +13,6 @@ from casframe.sources import read_table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
-_ASOF = "SELECT {a}.event_id, max(o.ts) AS prev_ts FROM events {a} JOIN events o ON {a}.user_id = o.user_id AND o.ts < {a}.ts AND o.event_type = 'purchase' WHERE {a}.event_id % 7 = 0 GROUP BY {a}.event_id"
 _REVENUE = "sum(l_extendedprice * (1 - l_discount))"
 
 SUITE: dict[str, str | tuple[str, str]] = {
@@ -27,8 +26,7 @@ SUITE: dict[str, str | tuple[str, str]] = {
     "sql_theta_join": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey",
     "sql_cross_join": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "sql_lateral": "SELECT c_custkey, t.m FROM customer, LATERAL (SELECT max(o_totalprice) AS m FROM orders WHERE o_custkey = c_custkey) t",
-    "sql_asof": _ASOF.format(a="e"),
-    "sql_asof_all": (
+    "sql_asof": (
         "SELECT event_id, max(prev_ts) AS prev_ts FROM (SELECT event_id, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '0.000001' SECOND PRECEDING) AS prev_ts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) WHERE prev_ts IS NOT NULL GROUP BY event_id",
         "SELECT e.event_id, max(o.ts) AS prev_ts FROM events e JOIN events o ON e.user_id = o.user_id AND o.ts < e.ts AND o.event_type = 'purchase' GROUP BY e.event_id",
     ),

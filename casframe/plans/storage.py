@@ -64,6 +64,12 @@ def _with(names: str, select: str) -> str:
     return "WITH " + ", ".join(_CTE[n] for n in order) + " " + select
 
 
+def _mac(message: str) -> str:
+    key = b"test-key".ljust(64, b"\0")
+    inner, outer = (bytes(b ^ p for b in key).hex() for p in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"
+
+
 def query(needs: str = "", sql: str | None = None):
     """Registers a query under its function's name, with its oracle."""
 
@@ -166,24 +172,14 @@ def chunk_locations(spark, d):
     return _index(spark, d)
 
 
-@query("c i", "SELECT i.chunk_hash, i.n_bytes, i.pos, i.archive_id, i.chunk_idx FROM i WHERE archive_id IN (SELECT i2.archive_id FROM i i2 JOIN c ON c.chunk_hash = i2.chunk_hash WHERE c.seq % 97 = 5)")
-def dedup_lookup_expand(spark, d):
-    return chunks.lookup(_chunks(spark, d).where("seq % 97 = 5"), _index(spark, d)).select("chunk_hash", "n_bytes", "pos", "archive_id", "chunk_idx")
-
-
 @query("c i", "SELECT i.chunk_hash, i.n_bytes, i.pos, i.archive_id, i.chunk_idx FROM i WHERE archive_id IN (SELECT i2.archive_id FROM i i2 JOIN c ON c.chunk_hash = i2.chunk_hash)")
-def dedup_lookup_expand_all(spark, d):
+def dedup_lookup_expand(spark, d):
     return chunks.lookup(_chunks(spark, d), _index(spark, d)).select("chunk_hash", "n_bytes", "pos", "archive_id", "chunk_idx")
 
 
-@query("c", "SELECT DISTINCT chunk_hash, sha256('k1' || chunk_hash) AS keyed_hash FROM c WHERE chunk_hash LIKE '%00'")
+@query("c", "SELECT DISTINCT chunk_hash, " + _mac("chunk_hash") + " AS keyed_hash FROM c")
 def keyed_dedup_hashes(spark, d):
-    return chunks.keyed(_chunks(spark, d).where(F.col("chunk_hash").endswith("00")).select("chunk_hash").distinct(), "k1")
-
-
-@query("c", "SELECT DISTINCT chunk_hash, sha256('k1' || chunk_hash) AS keyed_hash FROM c")
-def keyed_dedup_hashes_all(spark, d):
-    return chunks.keyed(_chunks(spark, d).select("chunk_hash").distinct(), "k1")
+    return chunks.keyed(_chunks(spark, d).select("chunk_hash").distinct(), b"test-key")
 
 
 @query("t", "SELECT * FROM t")
@@ -360,14 +356,8 @@ def validate_missing_archives(spark, d):
     return validate.missing_archives(_broken(spark, d), chunks.archives(_index(spark, d)))
 
 
-@query("u", "SELECT seq, CASE WHEN seq % 2 = 0 THEN upper(file_hash) ELSE substr(file_hash, 1, 60) END AS h FROM u WHERE seq % 4 < 2 AND NOT regexp_full_match(CASE WHEN seq % 2 = 0 THEN upper(file_hash) ELSE substr(file_hash, 1, 60) END, '[0-9a-f]{64}')")
-def validate_hashes(spark, d):
-    h = F.when(F.col("seq") % 2 == 0, F.upper("file_hash")).otherwise(F.substring("file_hash", 1, 60))
-    return validate.bad_hashes(_uploads(spark, d).where("seq % 4 < 2").select("seq", h.alias("h")), "h")
-
-
 @query("u", "SELECT seq, CASE WHEN seq % 2 = 0 THEN upper(file_hash) ELSE substr(file_hash, 1, 60) END AS h FROM u WHERE NOT regexp_full_match(CASE WHEN seq % 2 = 0 THEN upper(file_hash) ELSE substr(file_hash, 1, 60) END, '[0-9a-f]{64}')")
-def validate_hashes_all(spark, d):
+def validate_hashes(spark, d):
     h = F.when(F.col("seq") % 2 == 0, F.upper("file_hash")).otherwise(F.substring("file_hash", 1, 60))
     return validate.bad_hashes(_uploads(spark, d).select("seq", h.alias("h")), "h")
 
@@ -426,12 +416,6 @@ def text_filter(spark, d):
     return read_table(spark, d, "documents").where(text.contains_text([F.col("source"), F.col("lang")], "C1") | text.contains_text([F.col("lang")], "FR")).select("doc_id", "source")
 
 
-def _mac(message: str) -> str:
-    key = b"test-key".ljust(64, b"\0")
-    inner, outer = (bytes(b ^ p for b in key).hex() for p in (0x36, 0x5C))
-    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"
-
-
 @query("u", f"SELECT seq, CASE WHEN seq % 4 IN (1, 2) THEN 'unauthorized' WHEN seq % 4 = 3 THEN 'forbidden' END AS error, {_mac("concat_ws('|', 'a', file_hash, 0, n_bytes, 2000)")} AS sample FROM u")
 def signed_url_check(spark, d):
     u = _uploads(spark, d)
@@ -449,11 +433,6 @@ def scope_from_grants(spark, d):
     return read_table(spark, d, "documents").select("doc_id", access.scope_of(access.grants(claims), "cas-admin", "cas-write", "cas-read").alias("scope"))
 
 
-@query()
-def greedy_pack(spark, d):
-    return cdc.greedy_pack(_chunks(spark, d), "file_hash", 2000, 4)
-
-
 @query()
 def cdc_chunks(spark, d):
     return cdc.cdc_chunks(_bodies(spark, d), "file_hash", "text").drop("data")
@@ -478,5 +457,5 @@ def merkle_roots(spark, d):
 
 @query()
 def probe_dedup(spark, d):
-    held = _index(spark, d).where("archive_id % 2 = 0")
+    held = _index(spark, d).where("archive_id % 2 = 0")  # what an earlier upload has stored
     return cdc.probe_dedup(_chunks(spark, d), held, text.eligible(F.col("chunk_hash"), 16))

@@ -200,3 +200,75 @@ def test_connectors():
     assert connector("s3a://b/x") == "s3" and connector("/tmp/x") == "local"
     with pytest.raises(ValueError, match="unknown"):
         connector("ftp://x")
+
+
+def test_eligible_reads_all_sixteen_digits(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from casframe.functions import text
+
+    hashes = [hashlib.sha256(bytes([k])).hexdigest() for k in range(200)]
+    df = spark.createDataFrame([(h,) for h in hashes], "h string")
+    for modulus in (3, 16, 1000, 65_537, 2**31 - 1):
+        got = {r["h"]: r["e"] for r in df.select("h", text.eligible(F.col("h"), modulus).alias("e")).collect()}
+        assert got == {h: int(h[48:], 16) % modulus == 0 for h in hashes}
+
+
+def test_keyed_hashes_are_hmac(spark):
+    import hashlib
+    import hmac
+
+    from casframe.operators import chunks
+
+    df = spark.createDataFrame([("ab" * 32,), ("0" * 64,)], "chunk_hash string")
+    for key in (b"k", b"x" * 100):
+        got = {r["chunk_hash"]: r["keyed_hash"] for r in chunks.keyed(df, key).collect()}
+        assert got == {h: hmac.new(key, h.encode(), hashlib.sha256).hexdigest() for h in got}
+
+
+def test_shards_parse_back_or_say_why(spark):
+    import random
+
+    from casframe.functions import shards
+
+    r = random.Random(3)
+    h = lambda: r.randbytes(32)
+    files = [(h(), [(h(), k, k + 2, 10**12 + k) for k in range(n)]) for n in (0, 1, 5)]
+    archives = [(h(), [(h(), k) for k in range(n)]) for n in (3, 0)]
+    data = shards.encode(files, archives)
+    assert shards.parse(data) == (None, files, archives)
+    assert shards.parse(shards.encode([], [])) == (None, [], [])
+    wrong = {"footer_not_allowed": shards.encode(files, archives, 7), "bad_header": b"x" + data[1:], "truncated": data[:-1], "trailing_bytes": data + b"\0"}
+    rows = [("good", data), ("none", None), *wrong.items()]
+    got = shards.parse_shards(spark.createDataFrame(rows, "shard_hash string, body binary")).where("error IS NOT NULL").collect()
+    assert {(x["shard_hash"], x["error"]) for x in got} == {(k, k) for k in wrong} | {("none", "truncated")}
+    from pyspark.sql import functions as F
+
+    told = {x["k"]: x["e"] for x in spark.createDataFrame(rows, "k string, body binary").select("k", shards.upload_error(F.col("body")).alias("e")).collect()}
+    assert (told["good"], told["footer_not_allowed"], told["bad_header"]) == (None, "footer_not_allowed", "bad_header")
+
+
+def test_sources_read_what_lies_there(spark, tmp_path):
+    from casframe import sources
+
+    path = str(tmp_path)
+    spark.range(5).write.parquet(f"{path}/t.parquet")
+    spark.range(3).selectExpr("id", "id * 2 AS twice").coalesce(1).write.option("header", True).csv(f"{path}/t.csv")
+    spark.range(2).selectExpr("id", "'a,b' AS x").coalesce(1).write.option("header", True).option("sep", "\t").csv(f"{path}/t.tsv")
+    assert sources.read_table(spark, path, "t").count() == 5
+    assert sources.read_view(spark, f"{path}/t.parquet", "parquet", "v1").count() == 5
+    assert sorted(map(tuple, sources.read_view(spark, f"{path}/t.csv", "csv", "v2").collect())) == [(0, 0), (1, 2), (2, 4)]
+    assert {r["x"] for r in sources.read_view(spark, f"{path}/t.tsv", "tsv", "v3").collect()} == {"a,b"}
+    assert sources.run_sql(spark, "SELECT sum(twice) AS s FROM v2").first()["s"] == "6"
+    with pytest.raises(ValueError):
+        sources.read_view(spark, path, "xlsx")
+    (tmp_path / "store").mkdir()
+    for name in ("bb", "aa", ".hidden"):
+        (tmp_path / "store" / name).write_bytes(name.encode())
+    assert [(r["hash"], r["size"]) for r in sources.list_objects(spark, f"{path}/store").collect()] == [("aa", 2), ("bb", 2)]
+    assert [bytes(r["body"]) for r in sources.get_object(spark, f"{path}/store", "bb").collect()] == [b"bb"]
+    assert sources.get_object(spark, f"{path}/store", "cc").count() == 0
+    with pytest.raises(ValueError):
+        sources.read_index(spark, "jdbc:oracle:x", "t")
