@@ -6,6 +6,8 @@ to be written as a new version.  ``seq`` orders writes.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from casframe.functions.text import clamp_limit, encode_cursor, keyset_after
 
 EPOCH = 1_700_000_000
 STEP = 60
+WALK_ROWS = 100_000
 
 
 def claims(uploads: DataFrame) -> DataFrame:
@@ -70,8 +73,13 @@ def split_page(rows: list, limit: int) -> tuple[list, str | None]:
 
 
 def walk(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """All pages at once: page number and cursor after each page's last row."""
-    ranked = rows.withColumn("bucket", F.substring(key, 1, 2))
+    """All pages at once: page number and cursor after each page's last row.
+
+    Keys are hashes in hex; those that share their first digits are ranked together,
+    as many digits as leave about WALK_ROWS rows or fewer.
+    """
+    digits = max(2, math.ceil(math.log(max(1, rows.count() / WALK_ROWS), 16)))
+    ranked = rows.withColumn("bucket", F.substring(key, 1, digits))
     counts = ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
     placed = ranked.join(counts, "bucket").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy(key)) - 1)
     return placed.select(key, F.floor(F.col("place") / limit).cast("long").alias("page"), F.when(F.col("place") % limit == limit - 1, encode_cursor(F.col(key))).alias("next_cursor"))

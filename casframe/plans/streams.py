@@ -31,7 +31,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir, work, schema))
     index, last = Index(spark, f"{work}/index"), []
     ingest(source, index, f"{work}/checkpoint", last.append).awaitTermination()
-    return index.read("claims", last[-1] if last else -1, "file_hash string, owner_id string, logical_bytes long, created_at_unix long, seq long").drop("seq")
+    return index.read("claims", last[-1] if last else -1).drop("seq")
 
 
 def _folder(spark: SparkSession, sf_dir: str, work: str, schema) -> str:

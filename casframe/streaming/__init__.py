@@ -12,30 +12,51 @@ from casframe.operators import catalog, chunks
 
 
 class Index:
-    """Claims and chunk hashes as versioned folders; a batch merges by the batch operators.
+    """Claims and chunk hashes as a log of batches with regular compactions.
 
-    A batch writes version ``n + 1`` from version ``n`` and itself, so a retried batch
-    writes the same version again: the merge is idempotent per batch id.
+    A batch writes its own claims and chunks, merged, as one entry of the log, so its
+    cost follows its size and a retried batch writes the same entry again.  Every
+    ``every`` batches all entries so far become one base, and what is older than the
+    base before goes.  Reading merges the last base with the entries after it; both
+    merges are associative.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    SCHEMAS = {"claims": "file_hash string, owner_id string, logical_bytes long, created_at_unix long, seq long", "chunks": "chunk_hash string, n_bytes long, seq long"}
 
-    def read(self, name: str, version: int, schema: str) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str, every: int = 16) -> None:
+        self.spark, self.path, self.every = spark, path, every
+
+    def merged(self, name: str, rows: DataFrame) -> DataFrame:
+        if name == "claims":
+            return rows.groupBy("file_hash", "owner_id").agg(F.max_by("logical_bytes", "seq").alias("logical_bytes"), F.min("created_at_unix").alias("created_at_unix"), F.max("seq").alias("seq"))
+        return rows.groupBy("chunk_hash").agg(F.min("n_bytes").alias("n_bytes"), F.min("seq").alias("seq"))
+
+    def read(self, name: str, version: int, own_base: bool = True) -> DataFrame:
+        """State after batch ``version``; -1 is before the first."""
         if version < 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/v={version}")
+            return self.spark.createDataFrame([], self.SCHEMAS[name])
+        base = (version + 1) // self.every * self.every - 1
+        base -= self.every * (base == version and not own_base)
+        paths = [f"{self.path}/{name}/base={base}"] * (base >= 0) + [f"{self.path}/{name}/batch={k}" for k in range(base + 1, version + 1)]
+        rows = self.spark.read.schema(self.SCHEMAS[name]).parquet(*paths)
+        return self.merged(name, rows) if len(paths) > 1 else rows
 
     def merge(self, batch: DataFrame, number: int) -> None:
         uploads = chunks.files(batch)
-        old = self.read("claims", number - 1, "file_hash string, owner_id string, logical_bytes long, created_at_unix long, seq long")
-        new = uploads.select("file_hash", "owner_id", F.col("n_bytes").alias("logical_bytes"), (F.lit(catalog.EPOCH) + F.col("seq") * catalog.STEP).alias("created_at_unix"), "seq")
-        both = old.unionByName(new)
-        merged = both.groupBy("file_hash", "owner_id").agg(F.max_by("logical_bytes", "seq").alias("logical_bytes"), F.min("created_at_unix").alias("created_at_unix"), F.max("seq").alias("seq"))
-        merged.write.mode("overwrite").parquet(f"{self.path}/claims/v={number}")
+        claims = uploads.select("file_hash", "owner_id", F.col("n_bytes").alias("logical_bytes"), (F.lit(catalog.EPOCH) + F.col("seq") * catalog.STEP).alias("created_at_unix"), "seq")
         lines = chunks.line_chunks(chunks.distinct_files(uploads)).select("chunk_hash", "n_bytes", "seq")
-        known = self.read("chunks", number - 1, "chunk_hash string, n_bytes long, seq long")
-        known.unionByName(lines).groupBy("chunk_hash").agg(F.min("n_bytes").alias("n_bytes"), F.min("seq").alias("seq")).write.mode("overwrite").parquet(f"{self.path}/chunks/v={number}")
+        for name, rows in (("claims", claims), ("chunks", lines)):
+            self.merged(name, rows).write.mode("overwrite").parquet(f"{self.path}/{name}/batch={number}")
+            if (number + 1) % self.every == 0:
+                self.read(name, number, own_base=False).write.mode("overwrite").parquet(f"{self.path}/{name}/base={number}")
+                old = number - self.every
+                self._expire([f"{name}/batch={k}" for k in range(max(0, old - self.every + 1), old + 1)] + [f"{name}/base={old - self.every}"])
+
+    def _expire(self, names: list[str]) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ingest(source: DataFrame, index: Index, checkpoint: str, after: Callable[[int], None] | None = None) -> StreamingQuery:

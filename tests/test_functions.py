@@ -272,3 +272,22 @@ def test_sources_read_what_lies_there(spark, tmp_path):
     assert sources.get_object(spark, f"{path}/store", "cc").count() == 0
     with pytest.raises(ValueError):
         sources.read_index(spark, "jdbc:oracle:x", "t")
+
+
+def test_stream_index_log_and_compaction(spark, tmp_path):
+    """State after each batch is the batch merge of all rows so far, over compactions and a retried batch."""
+    from casframe.operators import catalog, chunks
+    from casframe.streaming import Index
+
+    index, seen = Index(spark, f"file://{tmp_path}/index", every=2), []
+    for number in range(7):
+        rows = [(number * 10 + k, f"text {k % 3}\nline {number % 2}", "en", f"s{k % 2}", 5) for k in range(4)]
+        seen += rows
+        batch = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        index.merge(batch, number)
+        if number == 3:
+            index.merge(batch, number)
+        uploads = chunks.files(spark.createDataFrame(seen, batch.schema))
+        want = catalog.claims(uploads).select("file_hash", "owner_id", "logical_bytes", "created_at_unix").collect()
+        assert sorted(index.read("claims", number).drop("seq").collect()) == sorted(want)
+    assert sorted(p.name for p in (tmp_path / "index" / "claims").iterdir()) == ["base=3", "base=5", "batch=4", "batch=5", "batch=6"]
