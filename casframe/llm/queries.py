@@ -16,6 +16,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language by document; one with a null id is in neither fold: held_out is null and nothing is learned from it."""
     documents = table(spark, sf_dir, "documents")
     model = langid.fit(documents.where(id_bucket(F.col("doc_id"), 5) != 0), langid.vocabulary_path())
     return langid.apply(documents, model).select("doc_id", (id_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
@@ -47,6 +48,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity by document; one with a null id is in neither fold: held_out is null and nothing is learned from it."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(documents, labels.where(id_bucket(F.col("doc_id"), 3) != 1))
     return toxicity.apply(documents, model).select("doc_id", (id_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "n_segments")
