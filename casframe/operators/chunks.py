@@ -15,6 +15,7 @@ from casframe.functions.access import hmac_sha256
 
 PER_ARCHIVE = 64
 RANK_GROUP = 1024
+HOT = 2000
 
 
 def files(documents: DataFrame) -> DataFrame:
@@ -30,9 +31,8 @@ def distinct_files(uploads: DataFrame) -> DataFrame:
 
 def line_chunks(bodies: DataFrame, with_data: bool = False) -> DataFrame:
     """(file_hash, seq, ord, chunk_hash, n_bytes[, data]); an empty body has no chunk."""
-    lines = bodies.select("file_hash", "seq", F.posexplode(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line")))).alias("ord", "x"), F.size(F.split("text", "\n")).alias("n"))
-    data = F.when(F.col("ord") < F.col("n") - 1, F.concat("x.line", F.lit("\n"))).otherwise(F.col("x.line"))
-    out = lines.select("file_hash", "seq", F.col("ord").cast("long").alias("ord"), data.alias("data")).where("data <> ''")
+    lines = bodies.select("file_hash", "seq", F.posexplode(F.split("text", "(?<=\n)")).alias("ord", "data"))
+    out = lines.select("file_hash", "seq", F.col("ord").cast("long").alias("ord"), "data").where("data <> ''")
     return out.select("file_hash", "seq", "ord", F.sha2("data", 256).alias("chunk_hash"), F.octet_length("data").cast("long").alias("n_bytes"), *(["data"] if with_data else []))
 
 
@@ -87,9 +87,24 @@ def sizes_from_ends(offsets: DataFrame) -> DataFrame:
     return offsets.select("archive_id", "chunk_idx", (F.col("unpacked_end_excl") - F.lag("unpacked_end_excl", 1, 0).over(w)).alias("n_bytes"))
 
 
+def spread_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``keys`` (one row a key), whatever share of the rows one key holds.
+
+    A key of over one in HOT of the rows is broadcast.  There are fewer than HOT of
+    them, and a payload that each of their rows could carry adds up to HOT mean
+    payloads of a row at most.  ``rows`` are read three times: give a written table
+    where they are costly to make.
+    """
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.agg(F.count(F.lit(1)).alias("_total"))
+    hot = counts.join(F.broadcast(total), F.col("_n") * HOT > F.col("_total")).select(*on)
+    rest = rows.join(F.broadcast(hot), on, "left_anti").join(keys, on)
+    return rows.join(F.broadcast(keys.join(F.broadcast(hot), on)), on).unionByName(rest)
+
+
 def file_terms(chunks: DataFrame, index: DataFrame) -> DataFrame:
     """Maximal runs of consecutive chunks of one archive: gaps and islands per file."""
-    placed = chunks.select("file_hash", "ord", "chunk_hash", "n_bytes").join(index.select("chunk_hash", "archive_id", "chunk_idx"), "chunk_hash")
+    placed = spread_join(chunks.select("file_hash", "ord", "chunk_hash", "n_bytes"), index.select("chunk_hash", "archive_id", "chunk_idx"), ["chunk_hash"])
     w = Window.partitionBy("file_hash").orderBy("ord")
     follows = (F.lag("archive_id").over(w) == F.col("archive_id")) & (F.lag("chunk_idx").over(w) + 1 == F.col("chunk_idx"))
     runs = placed.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("term_idx", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)

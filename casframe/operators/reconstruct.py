@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casframe.functions.text import parse_byte_range
+from casframe.operators.chunks import spread_join
 
 
 def term_offsets(terms: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def covering(terms: DataFrame, ranges: DataFrame) -> DataFrame:
 def assemble(terms: DataFrame, store: DataFrame) -> DataFrame:
     """(file_hash, text): terms expanded to chunks, joined with the chunk store, joined up in order."""
     wanted = terms.select("file_hash", "term_idx", "archive_id", F.explode(F.sequence("chunk_start", F.col("chunk_end_excl") - 1)).alias("chunk_idx"))
-    pieces = wanted.join(store.select("archive_id", "chunk_idx", "data"), ["archive_id", "chunk_idx"])
+    pieces = spread_join(wanted, store.select("archive_id", "chunk_idx", "data"), ["archive_id", "chunk_idx"])
     ordered = F.sort_array(F.collect_list(F.struct("term_idx", "chunk_idx", "data")))
     return pieces.groupBy("file_hash").agg(F.array_join(F.transform(ordered, lambda x: x["data"]), "").alias("text"))
 

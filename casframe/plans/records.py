@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from casframe.functions import access, shards, sniff, text
 from casframe.operators import admin, catalog, cdc, chunks, validate
-from casframe.plans.storage import _bodies, _chunks, _claims, _file_index, _gc_tables, _index, _mac, _shards, _terms, _uploads, query
+from casframe.plans.storage import _bodies, _chunk_table, _chunks, _claims, _file_index, _gc_tables, _index, _mac, _shards, _terms, _uploads, query
 from casframe.sources import read_table
 
 KEY = b"test-key"
@@ -63,7 +63,7 @@ def remove_archives(spark, d):
 
 @query("c i", f"SELECT DISTINCT c.chunk_hash, {_mac('c.chunk_hash')} AS keyed_hash, i.archive_id, i.chunk_idx FROM c JOIN i ON c.chunk_hash = i.chunk_hash")
 def keyed_lookup(spark, d):
-    return chunks.keyed_lookup(_chunks(spark, d), _index(spark, d), KEY).select("chunk_hash", "keyed_hash", "archive_id", "chunk_idx")
+    return chunks.keyed_lookup(_chunk_table(spark, d), _index(spark, d), KEY).select("chunk_hash", "keyed_hash", "archive_id", "chunk_idx")
 
 
 _WORD = "CAST('0x' || substr(chunk_hash, {at}, 8) AS BIGINT)"

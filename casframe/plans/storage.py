@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casframe.functions import access, sniff, text
 from casframe.operators import admin, catalog, cdc, chunks, reconstruct, validate
-from casframe.sources import read_table
+from casframe.sources import read_table, work_dir, written
 
 NOW, GRACE = 1_700_100_000, 24 * 3600
 OWNER = "src3"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Tables that the query being built has written: what several branches need is made once.
+_WRITTEN: ContextVar[dict[str, DataFrame]] = ContextVar("written")
 
 # Common table expressions of the oracles.
 _CTE = {
@@ -74,7 +78,15 @@ def query(needs: str = "", sql: str | None = None):
     """Registers a query under its function's name, with its oracle."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark, d):
+            token = _WRITTEN.set({})
+            try:
+                return f(spark, d)
+            finally:
+                _WRITTEN.reset(token)
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             ORACLES[f.__name__] = _with(needs, sql) if needs else sql
         return f
@@ -94,12 +106,23 @@ def _chunks(spark, d, data=False):
     return chunks.line_chunks(_bodies(spark, d), data)
 
 
+def _once(spark, name, make):
+    held = _WRITTEN.get()
+    if name not in held:
+        held[name] = written(make(), work_dir(spark, name))
+    return held[name]
+
+
+def _chunk_table(spark, d):
+    return _once(spark, "chunks", lambda: _chunks(spark, d))
+
+
 def _index(spark, d):
-    return chunks.chunk_index(_chunks(spark, d))
+    return _once(spark, "index", lambda: chunks.chunk_index(_chunk_table(spark, d)))
 
 
 def _terms(spark, d):
-    return chunks.file_terms(_chunks(spark, d), _index(spark, d))
+    return _once(spark, "terms", lambda: chunks.file_terms(_chunk_table(spark, d), _index(spark, d)))
 
 
 def _claims(spark, d):
@@ -174,7 +197,7 @@ def chunk_locations(spark, d):
 
 @query("c i", "SELECT i.chunk_hash, i.n_bytes, i.pos, i.archive_id, i.chunk_idx FROM i WHERE archive_id IN (SELECT i2.archive_id FROM i i2 JOIN c ON c.chunk_hash = i2.chunk_hash)")
 def dedup_lookup_expand(spark, d):
-    return chunks.lookup(_chunks(spark, d), _index(spark, d)).select("chunk_hash", "n_bytes", "pos", "archive_id", "chunk_idx")
+    return chunks.lookup(_chunk_table(spark, d), _index(spark, d)).select("chunk_hash", "n_bytes", "pos", "archive_id", "chunk_idx")
 
 
 @query("c", "SELECT DISTINCT chunk_hash, " + _mac("chunk_hash") + " AS keyed_hash FROM c")
@@ -458,4 +481,4 @@ def merkle_roots(spark, d):
 @query()
 def probe_dedup(spark, d):
     held = _index(spark, d).where("archive_id % 2 = 0")  # what an earlier upload has stored
-    return cdc.probe_dedup(_chunks(spark, d), held, text.eligible(F.col("chunk_hash"), 16))
+    return cdc.probe_dedup(_chunk_table(spark, d), held, text.eligible(F.col("chunk_hash"), 16))

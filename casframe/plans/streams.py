@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casframe.plans.storage import _with
-from casframe.sources import read_table
+from casframe.sources import read_table, work_dir
 from casframe.streaming import Index, ingest, windowed_counts
 
 
-def _work_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="casframe-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
-
-
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims after ingesting documents as a stream of files."""
-    work = _work_dir(spark)
+    work = work_dir(spark, "stream")
     schema = read_table(spark, sf_dir, "documents").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir, work, schema))
     index, last = Index(spark, f"{work}/index"), []

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +62,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder of spark.checkpoint.dir; on one machine without it, in a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="casframe-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The table written to ``path`` and read from there: lineage ends, and readers share the work."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_index(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """An index table kept in a relational database, by JDBC."""
     if url.split(":")[1:2] not in (["sqlite"], ["postgresql"]):
