@@ -143,3 +143,9 @@ def decoded_layouts(layouts_: DataFrame) -> DataFrame:
     """(archive_id, chunk_idx, chunk_hash, n_bytes, num_bytes_on_disk) of JSON layouts."""
     read = layouts_.select("archive_id", F.from_json("layout", "bytes long, chunks array<struct<i: long, hash: string, size: long>>").alias("l"))
     return read.select("archive_id", F.col("l.bytes").alias("num_bytes_on_disk"), F.explode("l.chunks").alias("c")).select("archive_id", "num_bytes_on_disk", F.col("c.i").alias("chunk_idx"), F.col("c.hash").alias("chunk_hash"), F.col("c.size").alias("n_bytes"))
+
+
+def result_frames(status: DataFrame) -> DataFrame:
+    """(shard_hash, frame): the line that ends an upload's response, 1 for an inserted shard and 0 for a known one."""
+    result = F.struct(F.lit("result").alias("type"), F.col("was_inserted").cast("int").alias("result"))
+    return status.select("shard_hash", F.concat(F.to_json(result), F.lit("\n")).alias("frame"))

@@ -7,6 +7,7 @@ any other implementation.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casframe.functions import frames, hashing
-from casframe.schema import CHUNK_MAX, CHUNK_MIN
+from casframe.schema import CHUNK_MAX, CHUNK_MIN, FRAME_HEADER
 
 U64 = np.uint64
 
@@ -166,3 +167,42 @@ def probe_dedup(chunks: DataFrame, index: DataFrame, eligible) -> DataFrame:
         if probe_candidates(state).where("NOT probed").isEmpty():
             break
     return state.select("file_hash", "ord", "chunk_hash", "n_bytes", "resolved")
+
+
+def archive_bodies(store: DataFrame, scheme: int = frames.RAW) -> DataFrame:
+    """(archive_id, body): the frames of each archive's chunks (archive_id, chunk_idx, data), in order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk_idx")
+        body = b"".join(frames.encode(x, scheme) for x in table.column("data").to_pylist())
+        return pa.table({"archive_id": table.column("archive_id").slice(0, 1), "body": pa.array([body], pa.binary())})
+
+    return store.select("archive_id", "chunk_idx", F.col("data").cast("binary").alias("data")).groupBy("archive_id").applyInArrow(run, "archive_id long, body binary")
+
+
+def walk_frames(bodies: DataFrame) -> DataFrame:
+    """(archive_id, chunk_idx, frame_start, frame_end_excl, n_bytes, chunk_hash) of each leading frame, hash and size recomputed from the decoded chunk."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for archive, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                rows = []
+                for k, (start, _, size) in enumerate(frames.walk(body or b"")[0]):
+                    data = frames.decode(body[start - FRAME_HEADER : start + size])
+                    rows.append((archive, k, start - FRAME_HEADER, start + size, len(data), hashlib.sha256(data).hexdigest()))
+                kinds = [pa.int64()] * 5 + [pa.string()]
+                columns = list(zip(*rows, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["archive_id", "chunk_idx", "frame_start", "frame_end_excl", "n_bytes", "chunk_hash"])
+
+    return bodies.select("archive_id", "body").mapInArrow(run, "archive_id long, chunk_idx long, frame_start long, frame_end_excl long, n_bytes long, chunk_hash string")
+
+
+def decode_frames(bodies: DataFrame) -> DataFrame:
+    """(archive_id, data): chunks [chunk_start, chunk_end_excl) of each body; a range past its frames raises."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            data = [frames.decode(b, s, e) for b, s, e in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["archive_id", "data"])
+
+    return bodies.select("archive_id", "body", "chunk_start", "chunk_end_excl").mapInArrow(run, "archive_id long, data binary")

@@ -478,7 +478,12 @@ def merkle_roots(spark, d):
     return cdc.merkle_roots(_chunks(spark, d), "file_hash")
 
 
-@query()
+_PROBES = """h AS (SELECT c.file_hash, c.ord, c.chunk_hash, c.n_bytes, CASE WHEN i.archive_id % 2 = 0 THEN i.archive_id END AS held FROM c JOIN i ON c.chunk_hash = i.chunk_hash),
+hl AS (SELECT *, row_number() OVER w = 1 AS head, lag(held) OVER w AS before FROM h WINDOW w AS (PARTITION BY file_hash ORDER BY ord)),
+f AS (SELECT file_hash, held FROM hl WHERE held IS NOT NULL AND (head OR CAST('0x' || right(chunk_hash, 8) AS BIGINT) % 16 = 0) UNION SELECT hl.file_hash, hl.held FROM f JOIN hl ON hl.file_hash = f.file_hash AND hl.before = f.held WHERE hl.held IS NOT NULL)"""
+
+
+@query("c i", f"SELECT * FROM (WITH RECURSIVE {_PROBES} SELECT h.file_hash, h.ord, h.chunk_hash, h.n_bytes, f.held IS NOT NULL AS resolved FROM h LEFT JOIN f ON f.file_hash = h.file_hash AND f.held = h.held)")
 def probe_dedup(spark, d):
     held = _index(spark, d).where("archive_id % 2 = 0")  # what an earlier upload has stored
     return cdc.probe_dedup(_chunk_table(spark, d), held, text.eligible(F.col("chunk_hash"), 16))
