@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casframe.functions.text import is_hash
+from casframe.operators.chunks import spread_join
 
 
 def bad_hashes(rows: DataFrame, column: str) -> DataFrame:
@@ -25,7 +26,8 @@ def term_violations(terms: DataFrame, index: DataFrame) -> DataFrame:
     known = terms.join(sizes, "archive_id", "left")
     ranges = known.select("file_hash", "term_idx", F.when(F.col("n_chunks").isNull(), "archive_missing").when(F.col("chunk_end_excl") <= F.col("chunk_start"), "range_empty").when(F.col("chunk_end_excl") > F.col("n_chunks"), "range_past_end").alias("rule"))
     good = known.where("n_chunks IS NOT NULL AND chunk_end_excl > chunk_start AND chunk_end_excl <= n_chunks")
-    parts = good.select("file_hash", "term_idx", "archive_id", "unpacked_bytes", "range_hash", F.explode(F.sequence("chunk_start", F.col("chunk_end_excl") - 1)).alias("chunk_idx")).join(index, ["archive_id", "chunk_idx"])
+    wanted = good.select("file_hash", "term_idx", "archive_id", "unpacked_bytes", "range_hash", F.explode(F.sequence("chunk_start", F.col("chunk_end_excl") - 1)).alias("chunk_idx"))
+    parts = spread_join(wanted, index.select("archive_id", "chunk_idx", "chunk_hash", "n_bytes"), ["archive_id", "chunk_idx"])
     listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_idx", "chunk_hash"))), lambda x: x["chunk_hash"]), "")
     sums = parts.groupBy("file_hash", "term_idx", "unpacked_bytes", "range_hash").agg(F.sum("n_bytes").alias("real"), F.sha2(listed, 256).alias("hash"))
     deep = sums.select("file_hash", "term_idx", F.when(F.col("real") != F.col("unpacked_bytes"), "size_mismatch").when(F.col("hash") != F.col("range_hash"), "range_hash_mismatch").alias("rule"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from casframe.functions import access, text
 from casframe.operators import catalog, cdc, chunks, reconstruct, validate
 from casframe.plans.records import _put
-from casframe.plans.storage import _bodies, _chunks, _index, _plan, _terms, query
+from casframe.plans.storage import _bodies, _chunks, _claims, _file_index, _index, _plan, _terms, _uploads, query
 from casframe.sources import read_table, read_view, run_sql, work_dir
 
 _DATA = "x AS (SELECT chunk_hash, any_value(data) AS data FROM c GROUP BY chunk_hash)"
@@ -89,6 +89,19 @@ def unregistered_files(spark, d):
     return validate.files_without_terms(_bodies(spark, d).select("file_hash"), _terms(spark, d).where("archive_id % 2 = 0"))
 
 
+@query("u fx k", "SELECT r.seq AS request_id, CASE WHEN fx.file_hash IS NULL THEN 'not_found' WHEN n.n IS NULL THEN CASE WHEN r.n_bytes % 2 = 1 THEN 'ok' ELSE 'forbidden' END WHEN h.owner_id IS NULL THEN 'forbidden' ELSE 'ok' END AS outcome FROM u r LEFT JOIN fx ON fx.file_hash = r.file_hash LEFT JOIN k h ON h.file_hash = r.file_hash AND h.owner_id = r.owner_id AND h.owner_id <> 'src3' LEFT JOIN (SELECT file_hash, count(*) AS n FROM k WHERE owner_id <> 'src3' GROUP BY file_hash) n ON n.file_hash = r.file_hash")
+def delete_unclaimed(spark, d):
+    """Requests after one owner's claims are gone: only an admin may delete a file that nobody claims."""
+    scope = F.when(F.col("n_bytes") % 2 == 1, "admin").otherwise("write")
+    requests = _uploads(spark, d).select(F.col("seq").alias("request_id"), "file_hash", "owner_id", scope.alias("scope"))
+    return catalog.delete_outcomes(requests, _file_index(spark, d), _claims(spark, d).where("owner_id <> 'src3'")).select("request_id", "outcome")
+
+
+@query("fx", "SELECT file_hash, shard_hash FROM fx")
+def visible_admin(spark, d):
+    return catalog.visible(_file_index(spark, d), _claims(spark, d), "nobody", admin=True)
+
+
 @query("", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer")
 def parquet_view(spark, d):
     read_view(spark, f"{d}/customer.parquet", "parquet", "preview")

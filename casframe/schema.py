@@ -26,6 +26,16 @@ TABLES = {
     "file_ownership": FILE_OWNERSHIP, "range_requests": RANGE_REQUESTS, "delete_requests": DELETE_REQUESTS, "frames": FRAMES,
 }
 
+
+def check(df, name: str) -> None:
+    """Raises ValueError unless ``df`` has the columns of TABLES[name] with their types; more columns may follow."""
+    have = dict(df.dtypes)
+    types = {"long": "bigint"}
+    wrong = [column for column, kind in (c.split(" ") for c in TABLES[name].split(", ")) if have.get(column) != types.get(kind, kind)]
+    if wrong:
+        raise ValueError(f"table {name} (schema {SCHEMA_VERSION}): missing or of another type: {', '.join(wrong)}")
+
+
 # Fixed limits of the protocol.
 CHUNK_TARGET, CHUNK_MIN, CHUNK_MAX = 64 << 10, 8 << 10, 128 << 10
 ARCHIVE_BYTES, ARCHIVE_OVERHEAD = 64 << 20, 4 << 20
