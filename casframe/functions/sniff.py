@@ -13,6 +13,11 @@ SAMPLE_LINES = 20
 MAGIC = [("image/png", "89504E470D0A1A0A"), ("image/jpeg", "FFD8FF"), ("image/gif", "47494638"), ("image/webp", "52494646________57454250"), ("application/pdf", "255044462D")]
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often the expression names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def looks_like_text(body: Column) -> Column:
     """No NUL and no control byte but tab, line feed and carriage return in the first 8 KiB."""
     return ~F.decode(F.substring(body, 1, SAMPLE_BYTES), "ISO-8859-1").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
@@ -22,12 +27,14 @@ def detect_tabular(text: Column) -> Column:
     """``tsv``, ``csv`` or NULL: the header's column count holds in 80 % of the first 20 lines."""
     lines = F.slice(F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(F.regexp_replace(x, r"[\r\t\f\x0B]", " "))) > 0), 1, SAMPLE_LINES)
 
-    def holds(delimiter: str) -> Column:
-        counts = F.transform(lines, lambda x: F.size(F.split(x, delimiter)))
+    def even(counts: Column) -> Column:
         same = F.size(F.filter(counts, lambda c: c == F.get(counts, F.lit(0))))
         return (F.get(counts, F.lit(0)) >= 2) & (same * 5 >= F.size(counts) * 4)
 
-    return F.when(F.size(lines) < 2, None).when(holds("\t"), "tsv").when(holds(","), "csv")
+    def holds(some: Column, delimiter: str) -> Column:
+        return _bound(F.transform(some, lambda x: F.size(F.split(x, delimiter))), even)
+
+    return _bound(lines, lambda some: F.when(F.size(some) < 2, None).when(holds(some, "\t"), "tsv").when(holds(some, ","), "csv"))
 
 
 def sniff_content(body: Column) -> Column:
@@ -62,17 +69,17 @@ def short_json(value: Column, most: int = 120) -> Column:
 
 def hex_dump(body: Column, most: int = 256) -> Column:
     """Array of ``offset  hex  |text|`` lines of 16 bytes."""
-    h = F.lower(F.hex(F.substring(body, 1, most)))
-    n = F.length(h).cast("int")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(32))).otherwise(F.array().cast("array<int>"))
+    def starts(h: Column) -> Column:
+        n = F.length(h).cast("int")
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(32))).otherwise(F.array().cast("array<int>"))
 
-    def line(i: Column) -> Column:
-        row = F.substr(h, i + 1, F.lit(32))
-        pairs = F.filter(F.transform(F.sequence(F.lit(1), F.lit(31), F.lit(2)), lambda k: F.substr(row, k, F.lit(2))), lambda p: p != "")
-        shown = F.transform(pairs, lambda p: F.when((p >= "20") & (p <= "7e"), F.unhex(p).cast("string")).otherwise("."))
-        return F.concat(F.lpad(F.lower(F.hex((i / 2).cast("long"))), 8, "0"), F.lit("  "), F.rpad(F.array_join(pairs, " "), 47, " "), F.lit("  |"), F.array_join(shown, ""), F.lit("|"))
+    def line(h: Column, i: Column) -> Column:
+        pairs = F.filter(F.regexp_extract_all(F.substr(h, i + 1, F.lit(32)), F.lit("(..)"), F.lit(1)), lambda p: p != "")
+        shown = lambda some: F.transform(some, lambda p: F.when((p >= "20") & (p <= "7e"), F.unhex(p).cast("string")).otherwise("."))
+        offset = F.lpad(F.lower(F.hex((i / 2).cast("long"))), 8, "0")
+        return _bound(pairs, lambda some: F.concat(offset, F.lit("  "), F.rpad(F.array_join(some, " "), 47, " "), F.lit("  |"), F.array_join(shown(some), ""), F.lit("|")))
 
-    return F.transform(starts, line)
+    return _bound(F.lower(F.hex(F.substring(body, 1, most))), lambda h: F.transform(starts(h), lambda i: line(h, i)))
 
 
 def numbered_lines(text: Column) -> Column:

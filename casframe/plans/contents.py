@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casframe.functions import access, text
+from casframe.functions import access, sniff, text
 from casframe.operators import catalog, cdc, chunks, reconstruct, validate
 from casframe.plans.records import _put
 from casframe.plans.storage import _bodies, _chunks, _claims, _file_index, _index, _plan, _terms, _uploads, query
@@ -115,3 +115,34 @@ def tsv_view(spark, d):
     read_table(spark, d, "part").select("p_partkey", "p_name", "p_size").write.option("header", True).option("sep", "\t").csv(path)
     read_view(spark, path, "tsv", "preview")
     return run_sql(spark, "SELECT p_partkey, p_name, p_size FROM preview")
+
+
+_PAIR = "substr(h, i + j + 1, 2)"
+
+
+@query("", f"""SELECT doc_id, array_to_string(list_transform(range(0, CAST(length(h) AS BIGINT), 32), lambda i: lpad(lower(to_hex(i // 2)), 8, '0') || '  ' || rpad(trim(regexp_replace(lower(substr(h, i + 1, 32)), '(..)', '\\1 ', 'g')), 47, ' ') || '  |' ||
+array_to_string(list_transform(range(0, least(32, CAST(length(h) AS BIGINT) - i), 2), lambda j: CASE WHEN {_PAIR} BETWEEN '20' AND '7E' THEN chr(CAST('0x' || {_PAIR} AS INT)) ELSE '.' END), '') || '|'), chr(10)) AS dump
+FROM (SELECT doc_id, substr(hex(encode(coalesce(text, ''))), 1, 512) AS h FROM documents)""")
+def hex_dump_texts(spark, d):
+    """The preview of every text as hex lines."""
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    return read_table(spark, d, "documents").select("doc_id", F.array_join(sniff.hex_dump(body), "\n").alias("dump"))
+
+
+@query("", "SELECT doc_id, CASE WHEN source = 'src1' THEN 'admin' WHEN lang = 'en' THEN 'write' WHEN source = 'src3' THEN 'read' END AS scope FROM documents")
+def scope_from_rows(spark, d):
+    """Scopes by token claims written from each row: its source as a scope, its language as a realm role."""
+    claims = F.to_json(F.struct(F.concat(F.lit("openid "), "source").alias("scope"), F.struct(F.array("lang").alias("roles")).alias("realm_access")))
+    return read_table(spark, d, "documents").select("doc_id", access.scope_of(access.grants(claims), "src1", "en", "src3").alias("scope"))
+
+
+_HOLDS = "list_transform(a, lambda x: len(string_split(x, {mark})))"
+_TABLE = "({c}[1] >= 2 AND len(list_filter({c}, lambda v: v = {c}[1])) * 5 >= len({c}) * 4)"
+
+
+@query("", f"""SELECT doc_id, CASE WHEN regexp_matches(t, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F]') THEN 'application/octet-stream' WHEN lower(t) LIKE '<svg%' THEN 'image/svg+xml' WHEN len(a) >= 2 AND {_TABLE.format(c='tabs')} THEN 'tsv' WHEN len(a) >= 2 AND {_TABLE.format(c='commas')} THEN 'csv' ELSE 'text/plain' END AS kind
+FROM (SELECT *, {_HOLDS.format(mark='chr(9)')} AS tabs, {_HOLDS.format(mark="','")} AS commas
+FROM (SELECT doc_id, ltrim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS t, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(regexp_replace(x, '[\\r\\t\\f\\x0B]', ' ', 'g'))) > 0)[1:20] AS a FROM documents))""")
+def sniff_texts(spark, d):
+    """The type of every text; the oracle leaves out magic numbers, which no text starts with."""
+    return read_table(spark, d, "documents").select("doc_id", sniff.sniff_content(F.coalesce("text", F.lit("")).cast("binary")).alias("kind"))
