@@ -8,6 +8,7 @@ any other implementation.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,17 +112,48 @@ def frames_roundtrip(bodies: DataFrame, key: str, body: str, params: CdcParams =
     return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, scheme int, n_frames long, encoded_bytes long, same boolean")
 
 
-def merkle_roots(chunks: DataFrame, key: str) -> DataFrame:
-    """(key, root, file_hash) from (key, ord, chunk_hash hex, n_bytes): an ordered fold per group."""
-    schema = f"{key} {chunks.schema[key].dataType.simpleString()}, root string, {'file_hash_value' if key == 'file_hash' else 'file_hash'} string"
+def fold_roots(parts: Iterator[pa.RecordBatch], names: list[str], room: int) -> Iterator[pa.RecordBatch]:
+    """(key, root, file hash) of rows (key, chunk hash, n_bytes) sorted by key and place; files end when the key changes.
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("ord").to_pylist(), table.column("chunk_hash").to_pylist(), table.column("n_bytes").to_pylist(), strict=True))
-        leaves = [(bytes.fromhex(h), n) for _, h, n in rows]
-        out = [hashing.merkle_root(leaves).hex(), hashing.file_hash(leaves).hex()]
-        return pa.table([pa.array([table.column(key)[0].as_py()]), pa.array(out[:1]), pa.array(out[1:])], names=[key, "root", "file_hash_value" if key == "file_hash" else "file_hash"])
+    Finished files wait until they have ``room`` children in all and are hashed
+    together, since Blake3 over a few nodes costs about as much as over thousands.
+    """
+    keys, levels, held, key, kind = [], [], 0, None, None
+    file = None
+
+    def flush() -> pa.RecordBatch:
+        roots = hashing.merkle_roots(levels)
+        return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array([r.hex() for r in roots], pa.string()), pa.array([h.hex() for h in hashing.file_hashes(roots)], pa.string())], names)
+
+    for part in parts:
+        kind = part.column(0).type
+        rows = zip(part.column(0).to_pylist(), zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True), strict=True)
+        for k, own in itertools.groupby(rows, lambda r: r[0]):
+            if file is None or k != key:
+                if file is not None:
+                    keys.append(key)
+                    levels.append(file.top())
+                    held += len(levels[-1])
+                    if held >= room:
+                        yield flush()
+                        keys, levels, held = [], [], 0
+                file, key = hashing.MerkleFold(room), k
+            file.add([leaf for _, leaf in own])
+    if file is not None:
+        keys.append(key)
+        levels.append(file.top())
+        yield flush()
+
+
+def merkle_roots(chunks: DataFrame, key: str, room: int = 1 << 16) -> DataFrame:
+    """(key, root, file_hash) from (key, ord, chunk_hash hex, n_bytes): an ordered fold per key, many keys hashed together."""
+    value = "file_hash_value" if key == "file_hash" else "file_hash"
+    source = chunks.select(key, "ord", F.unhex("chunk_hash").alias("chunk_hash"), "n_bytes").repartition(key).sortWithinPartitions(key, "ord", "chunk_hash", "n_bytes").select(key, "chunk_hash", "n_bytes")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fold_roots(parts, [key, "root", value], room)
 
-    return chunks.select(key, "ord", "chunk_hash", "n_bytes").groupBy(key).applyInArrow(run, schema)
+    return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, root string, {value} string")
 
 
 def greedy_pack(chunks: DataFrame, key: str, most_bytes: int, most_chunks: int) -> DataFrame:

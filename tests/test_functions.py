@@ -2,6 +2,7 @@ import hashlib
 import hmac
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,67 @@ def test_merkle_is_stable_and_sensitive():
     assert len({hashing.file_hash(leaves), root, hashing.range_hash([h for h, _ in leaves])}) == 3
 
 
+def leaves_of(k, n):
+    return [(hashlib.sha256(f"{k}/{i}".encode()).digest(), i % 97 + 1) for i in range(n)]
+
+
+def plain_root(level):
+    """One list at a time."""
+    while len(level) > 1:
+        groups, own = [], []
+        for i, child in enumerate(level):
+            own.append(child)
+            if len(own) == 9 or len(own) > 1 and child[0][24] % 4 == 0 or i + 1 == len(level):
+                groups.append(own)
+                own = []
+        digests = hashing.blake3(["".join(f"{h.hex()} : {n}\n" for h, n in g).encode() for g in groups], hashing.INTERNAL_NODE_KEY)
+        level = [(h, sum(n for _, n in g)) for h, g in zip(digests, groups, strict=True)]
+    return level[0][0]
+
+
+def test_merkle_roots_hash_a_level_of_all_lists_at_once(monkeypatch):
+    lists = [leaves_of(k, k % 30 + 1) for k in range(40)]
+    want, blake3, calls = [plain_root(x) for x in lists], hashing.blake3, []
+    monkeypatch.setattr(hashing, "blake3", lambda *a: calls.append(1) or blake3(*a))
+    assert hashing.merkle_roots(lists) == want and len(calls) < 6
+    assert hashing.merkle_roots([[], lists[0]]) == [bytes(32), want[0]] and hashing.merkle_roots([]) == []
+
+
+def test_files_are_hashed_together(monkeypatch):
+    rows = [(k, *leaf) for k in range(40) for leaf in leaves_of(k, k % 30 + 1)]
+    parts = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 100], strict=True), (pa.int64(), pa.binary(), pa.int64()), strict=True)], ["k", "h", "n"]) for i in range(0, len(rows), 100)]
+    want, blake3, calls = [plain_root(leaves_of(k, k % 30 + 1)) for k in range(40)], hashing.blake3, []
+    monkeypatch.setattr(hashing, "blake3", lambda *a: calls.append(1) or blake3(*a))
+    (got,) = cdc.fold_roots(iter(parts), ["k", "root", "file_hash"], 1 << 16)
+    assert len(calls) < 7 and got.column(0).to_pylist() == list(range(40))
+    assert got.column(1).to_pylist() == [r.hex() for r in want]
+    assert got.column(2).to_pylist() == [h.hex() for h in blake3(want, hashing.FILE_KEY)]
+    assert list(cdc.fold_roots(iter(()), ["k", "root", "file_hash"], 8)) == []
+
+
+@pytest.mark.parametrize("room", [1, 2, 10, 100, 1 << 16])
+def test_long_lists_fold_as_they_come(monkeypatch, room):
+    monkeypatch.setattr(hashing, "blake3", lambda texts, key: [hashlib.sha256(key + t).digest() for t in texts])
+    for n in (1, 2, 3, 9, 10, 40, 1000):
+        leaves = leaves_of("x", n)
+        for step in (1, 7, n):
+            fold = hashing.MerkleFold(room)
+            for i in range(0, n, step):
+                fold.add(leaves[i : i + step])
+                assert all(len(level) <= max(room, 8) for level in fold.levels)
+            assert hashing.merkle_roots([fold.top()]) == [plain_root(leaves)]
+
+
+@pytest.mark.parametrize("room", [5, 1 << 16])
+def test_merkle_roots_of_every_key(spark, room):
+    want = {k: plain_root(leaves_of(k, n)) for k, n in [(None, 7), *((k, k % 45 + 1) for k in range(60))]}
+    rows = [(k, i, h.hex(), n) for k in want for i, (h, n) in enumerate(leaves_of(k, 7 if k is None else k % 45 + 1))]
+    chunks = spark.createDataFrame(rows[::-1], "doc long, ord long, chunk_hash string, n_bytes long")
+    got = cdc.merkle_roots(chunks, "doc", room).collect()
+    assert len(got) == len(want) and {r.doc: (r.root, r.file_hash) for r in got} == {k: (r.hex(), hashing.blake3([r], hashing.FILE_KEY)[0].hex()) for k, r in want.items()}
+    assert cdc.merkle_roots(chunks.limit(0), "doc").collect() == []
+
+
 @pytest.mark.parametrize("n", range(9))
 def test_group4(n):
     data = bytes(range(n))
