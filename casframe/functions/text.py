@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 HASH_PATTERN = "^[0-9a-f]{64}$"
 POINTER_VERSION = "https://casframe/spec/v1"
+BYTE_UNITS = ("B", "KB", "MB", "GB", "TB")
 
 
 def is_hash(column: Column) -> Column:
@@ -52,11 +53,12 @@ def slice_limits(start: Column, end: Column, size: Column) -> Column:
     return F.struct(absolute(start, F.lit(0)).cast("long").alias("start"), absolute(end, size).cast("long").alias("end_excl"))
 
 
-def format_bytes(n: Column) -> Column:
-    """``0 B``, whole bytes, then one decimal in steps of 1024."""
-    unit = sum((F.when(n >= 1024**k, 1).otherwise(0) for k in range(2, 5)), F.when(n >= 1024, 1).otherwise(0))
-    value = n / F.pow(F.lit(1024.0), unit)
-    name = F.element_at(F.array(*(F.lit(u) for u in ("B", "KB", "MB", "GB", "TB"))), unit + 1)
+def format_bytes(n: Column, largest: str = "TB") -> Column:
+    """``0 B``, whole bytes, then one decimal (half up) in steps of 1024, in ``largest`` whatever is above it."""
+    top = BYTE_UNITS.index(largest)
+    unit = sum((F.when(n >= 1024**k, 1).otherwise(0) for k in range(1, top + 1)), F.lit(0))
+    value = F.floor(n / F.pow(F.lit(1024.0), unit) * 10 + 0.5) / 10
+    name = F.element_at(F.array(*(F.lit(u) for u in BYTE_UNITS)), unit + 1)
     return F.when(n == 0, "0 B").otherwise(F.concat(F.when(unit == 0, n.cast("string")).otherwise(F.format_string("%.1f", value)), F.lit(" "), name))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casframe import schema
-from casframe.functions import frames
+from casframe.functions import frames, text
 from casframe.operators import cdc, chunks
 from casframe.plans import storage
 
@@ -70,3 +70,21 @@ def test_a_query_writes_its_tables_once(spark, monkeypatch):
     assert sorted(names) == ["chunks", "index", "terms"]
     storage.QUERIES["file_terms"](spark, SF)
     assert sorted(names) == ["chunks", "chunks", "index", "index", "terms", "terms"]
+
+
+def test_format_bytes_is_its_sql_on_large_and_odd_rows(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    keys = [(0, 7), (1, 1), (5, 29), (147, 1), (1023, 1024), (20_000, 1000), (1_200_000, 60_000), (3_067_834, 1024), (2**30, 2**20), (None, 3), (3, None), (-40, 9)]
+    rows = [(i, p, s, j, q) for i, (p, s) in enumerate(keys) for j, q in enumerate([1.0, 50.0, 0.5, 1.5, 2.5, 2.4999, -1.0, None])]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(con.sql(storage.ORACLES["format_bytes"]).fetchall())
+    assert sorted(map(tuple, storage.QUERIES["format_bytes"](spark, str(tmp_path)).collect())) == want
+    assert {(r[2] or "-").split(" ")[-1] for r in want} == {"B", "KB", "MB", "GB", "-"} and any(len(r[2] or "") > 10 for r in want)
+
+
+def test_format_bytes_in_a_largest_unit(spark):
+    got = [spark.range(1).select(text.format_bytes(F.lit(n), unit)).first()[0] for n, unit in [(5 * 1024**4, "GB"), (1024**2, "KB"), (1536, "B"), (1024**5, "TB")]]
+    assert got == ["5120.0 GB", "1024.0 KB", "1536 B", "1024.0 TB"]
